@@ -8,9 +8,11 @@ record on either side. Nothing is shuffled but the partition totals, and no task
 
 from __future__ import annotations
 
+import json
 import re
 import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,18 +33,36 @@ _PLAIN = re.compile("[\x00-\x1b\x20-ſ‐-‧‰-⁞€]*")
 
 
 class Pieces(dict):
-    """From a piece of text to its ids as little-endian uint32 bytes; pieces met for the first time go to the tokenizer.
+    """From a piece of text to its ids as little-endian uint32 bytes.
 
-    Byte-level BPE never merges across pieces, so the ids of a text are those of its pieces. The memory is bounded:
-    beyond `most` pieces it is emptied.
+    Byte-level BPE never merges across pieces, so the ids of a text are those of its pieces. Pieces met for the
+    first time go to a merger of bytes by rank, made from the tokenizer's own vocabulary where its merges stand in
+    the order of their ids, else to the tokenizer. The memory is bounded: beyond `most` pieces it is emptied.
     """
 
-    def __init__(self, path: str, most: int = 200_000):
+    def __init__(self, path: str, most: int = 150_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.most = most
+        self.merge = self._by_rank(path)
+
+    @staticmethod
+    def _by_rank(path: str):
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        made = [model["vocab"].get("".join(p), -1) for p in pairs]
+        if made != sorted(made) or -1 in made or len(set(made)) < len(made) or min(made, default=0) < 256:
+            return None
+        import tiktoken
+
+        # The public byte-to-letter table of byte-level BPE: printable bytes stand for themselves, others follow U+0100.
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        letter = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
+        ranks = {bytes(letter[c] for c in t): i for t, i in model["vocab"].items() if all(c in letter for c in t) and i <= max(made, default=255)}
+        return tiktoken.Encoding("own", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
 
     def ids(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -50,7 +70,8 @@ class Pieces(dict):
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= self.most:
             self.clear()
-        self[piece] = found = self.ids(piece)
+        found = self.ids(piece) if self.merge is None else array("I", self.merge(piece.encode())).tobytes()
+        self[piece] = found
         return found
 
     def encode(self, text: str) -> bytes:

@@ -15,9 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES
-
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = "[#*$%&|<>]"
 
 
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -25,8 +23,8 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def without(text: Column, chars: str) -> Column:
-    return F.translate(text, chars, "")
+def count(text: Column, pattern: str) -> Column:
+    return F.regexp_count(text, F.lit(pattern)).cast("long")
 
 
 def words(text: Column) -> Column:
@@ -43,11 +41,11 @@ def repeated_window_words(w: Column, n: int = 3) -> Column:
     hashes = F.transform(starts, lambda i: F.xxhash64(*[F.get(w, i + (j - 1)) for j in range(n)]))
 
     def covered(h: Column) -> Column:
-        by_hash = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+        by_hash = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
 
         def twice(s: Column) -> Column:
             same = lambda e, j: F.coalesce(F.when(j > 0, F.get(s, j - 1)["h"]) == e["h"], F.lit(False)) | F.coalesce(F.get(s, j + 1)["h"] == e["h"], F.lit(False))
-            return F.array_sort(F.array_compact(F.transform(s, lambda e, j: F.when(same(e, j), e["i"]))))
+            return F.sort_array(F.array_compact(F.transform(s, lambda e, j: F.when(same(e, j), e["i"]))))
 
         def union(p: Column) -> Column:
             steps = F.transform(p, lambda x, j: F.coalesce(F.least(F.get(p, j + 1) - x, F.lit(n)), F.lit(n)))
@@ -66,11 +64,13 @@ def repeated_lines(text: Column) -> Column:
 
 def base_features(text: Column) -> dict[str, Column]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of a text that isn't null."""
-    both = bind(words(text), lambda w: F.struct(F.size(w).cast("long").alias("n"), repeated_window_words(w).alias("r")))
+    of_words = bind(
+        words(text),
+        lambda w: F.struct(F.size(w).cast("long").alias("n"), F.length(F.array_join(w, "")).cast("long").alias("c"), repeated_window_words(w).alias("r")),
+    )
     return {
-        "_both": both,
-        "word_chars": F.length(without(text, SPACES)).cast("long"),
-        "n_symbols": (F.length(text) - F.length(without(text, SYMBOLS))).cast("long"),
+        "_w": of_words,
+        "n_symbols": count(text, SYMBOLS),
         "n_dup_lines": repeated_lines(text),
     }
 
@@ -83,8 +83,7 @@ class Rule:
 
 def rules(symbols_pct: int = 10, upper_pct: int = 30, marks_pct: int = 10, lines_pct: int = 50, least_chars: int = 2, most_chars: int = 15) -> list[Rule]:
     """Over columns text, n_words, word_chars, n_symbols, n_dup_lines; percentages of words, of characters and of lines."""
-    upper = F.length(F.col("text")) - F.length(F.regexp_replace("text", r"\p{Lu}", ""))
-    marks = F.length(F.col("text")) - F.length(without(F.col("text"), "!?"))
+    upper, marks = count(F.col("text"), r"\p{Lu}"), count(F.col("text"), "[!?]")
     lines = F.size(F.split("text", "\n"))
     return [
         Rule("symbols", F.col("n_symbols") * 100 > F.col("n_words") * symbols_pct),
@@ -98,7 +97,7 @@ def rules(symbols_pct: int = 10, upper_pct: int = 30, marks_pct: int = 10, lines
 def featured(docs: DataFrame) -> DataFrame:
     d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     d = d.withColumns(base_features(F.col("text")))
-    return d.select("doc_id", "text", F.col("_both.n").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", F.col("_both.r").alias("n_repeat_words"))
+    return d.select("doc_id", "text", F.col("_w.n").alias("n_words"), F.col("_w.c").alias("word_chars"), "n_symbols", "n_dup_lines", F.col("_w.r").alias("n_repeat_words"))
 
 
 def order_rules(docs: DataFrame, candidates: list[Rule], sample_rows: int = 500) -> list[tuple[Rule, float, float]]:
