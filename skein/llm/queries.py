@@ -5,9 +5,22 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import mixing, packing, quality_rules
-from .common import table
+from . import langid, media, mixing, packing, qualnet, quality_rules, toxicity
+from .common import id_crc, labelled_sample, stage_table, table
+
+
+#: Rows that classifiers are fitted on, at most.
+TOXICITY_ROWS, LANGUAGE_ROWS, QUALITY_ROWS = 4000, 2000, 1600
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    sample = labelled_sample(docs, labels, "toxic", TOXICITY_ROWS, 4, 2)
+    share = qualnet.label_share(labels.where(id_crc(F.col("doc_id")) % 4 != 2), "toxic")
+    scored = toxicity.score(docs.select("doc_id", "text"), toxicity.fit(sample, share))
+    return scored.select("doc_id", (id_crc(F.col("doc_id")) % 4 == 2).alias("held_out"), "score", "predicted")
 
 
 def op2_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,15 +31,39 @@ def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), keep_ids=False)
 
 
+def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = stage_table(media.encode(table(spark, sf_dir, "documents")), "media")
+    return media.describe(stored).drop("embedded", "corrected")
+
+
 def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = mixing.mix(table(spark, sf_dir, "documents"))
     return m.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, space = table(spark, sf_dir, "documents"), langid.Space()
+    names, prototypes = langid.fit(langid.training_rows(docs, LANGUAGE_ROWS), space)
+    found = langid.identify(docs.select("doc_id", "text"), names, prototypes, space)
+    return found.select("doc_id", (id_crc(F.col("doc_id")) % 4 == 2).alias("held_out"), "lang_pred", "score")
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    sample = labelled_sample(docs, labels, "quality", QUALITY_ROWS, 5, 0)
+    share = qualnet.label_share(labels.where(id_crc(F.col("doc_id")) % 5 != 0), "quality")
+    scored = qualnet.score(docs.select("doc_id", "text"), qualnet.Net().fit(sample, prior=share))
+    return scored.select("doc_id", (id_crc(F.col("doc_id")) % 5 == 0).alias("held_out"), "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_quality_cascade": op2_quality_cascade,
     "op4_pack": op4_pack,
+    "op5_media": op5_media,
     "op7_mix": op7_mix,
+    "op8_language": op8_language,
+    "op9_quality": op9_quality,
 }
 
 OP2_SQL = r"""
