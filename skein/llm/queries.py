@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, media, mixing, packing, qualnet, quality_rules, toxicity
+from . import langid, media, mixing, packing, qualnet, quality_rules, simhash, toxicity
 from .common import id_crc, labelled_sample, stage_table, table
 
 
@@ -27,6 +27,11 @@ def op2_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.cascade(table(spark, sf_dir, "documents"))
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "fingerprint", "component_id")
+
+
 def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), keep_ids=False)
 
@@ -59,6 +64,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_quality_cascade": op2_quality_cascade,
+    "op3_simhash": op3_simhash,
     "op4_pack": op4_pack,
     "op5_media": op5_media,
     "op7_mix": op7_mix,
