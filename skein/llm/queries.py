@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, media, mixing, packing, qualnet, quality_rules, simhash, toxicity
+from . import langid, media, mixing, packing, qualnet, quality_rules, simhash, suffix, toxicity
 from .common import id_crc, labelled_sample, stage_table, table
 
 
@@ -61,6 +61,10 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (id_crc(F.col("doc_id")) % 5 == 0).alias("held_out"), "score", "predicted")
 
 
+def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_quality_cascade": op2_quality_cascade,
@@ -70,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_mix": op7_mix,
     "op8_language": op8_language,
     "op9_quality": op9_quality,
+    "op10_suffix": op10_suffix,
 }
 
 OP2_SQL = r"""
