@@ -58,10 +58,11 @@ class Pieces(dict):
             return None
         import tiktoken
 
+        top = max(made, default=255)
         # The public byte-to-letter table of byte-level BPE: printable bytes stand for themselves, others follow U+0100.
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         letter = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
-        ranks = {bytes(letter[c] for c in t): i for t, i in model["vocab"].items() if all(c in letter for c in t) and i <= max(made, default=255)}
+        ranks = {bytes(letter[c] for c in t): i for t, i in model["vocab"].items() if all(c in letter for c in t) and i <= top}
         return tiktoken.Encoding("own", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
 
     def ids(self, text: str) -> bytes:
