@@ -14,6 +14,7 @@ import sys
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -81,6 +82,12 @@ class Pieces(dict):
         return b"".join([self[p] for p in _PIECE.findall(text)])
 
 
+@lru_cache(maxsize=1)
+def pieces_of(path: str) -> Pieces:
+    """One for all tasks of a worker process."""
+    return Pieces(path)
+
+
 def default_path() -> str:
     import public_tokenizers
 
@@ -91,7 +98,7 @@ def tokens(docs: DataFrame, path: str | None = None, end: int = 0) -> DataFrame:
     """(doc_id, part, before, n, ids): ids are uint16 bytes where all fit, `end` closes each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, before = Pieces(path or default_path()), 0
+        pieces, before = pieces_of(path or default_path()), 0
         part, close = TaskContext.get().partitionId(), np.array([end], dtype="<u4").tobytes()
         wide = pieces.tokenizer.get_vocab_size() > 65536 or end > 65535
         for b in batches:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, media, mixing, packing, qualnet, quality_rules, simhash, suffix, toxicity
+from . import langid, media, mixing, packing, qualnet, quality_rules, simhash, suffix, toxicity, warc
 from .common import id_crc, labelled_sample, stage_table, table
 
 
@@ -41,6 +41,11 @@ def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.describe(stored).drop("embedded", "corrected")
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = warc.archive(table(spark, sf_dir, "pages"))
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "ts")
+
+
 def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = mixing.mix(table(spark, sf_dir, "documents"))
     return m.select("doc_id", "size", "source_size", "target", "taken")
@@ -71,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": op3_simhash,
     "op4_pack": op4_pack,
     "op5_media": op5_media,
+    "op6_warc": op6_warc,
     "op7_mix": op7_mix,
     "op8_language": op8_language,
     "op9_quality": op9_quality,
