@@ -87,13 +87,20 @@ def _case(word: Column, n: int) -> Column:
     return out.otherwise(word)
 
 
-def with_stem(words: DataFrame, column: str = "word", to: str = "term") -> DataFrame:
-    """words plus the stem of `column`; one projection per step, so that no step's text is repeated in the next."""
-    plain = F.col(column).rlike(WORDS)
-    df = words.withColumn(to, F.col(column))
+def _step(n: int):
+    return lambda word: _case(word, n)
+
+
+def stem(word: Column) -> Column:
+    """The stem, as one expression: each step is a lambda over an array of one word, so no step's text is repeated in the next."""
+    steps = F.array(word)
     for n in range(len(STEPS)):
-        df = df.withColumn(to, _case(F.col(to), n))
-    return df.withColumn(to, F.when(plain, F.col(to)).otherwise(F.col(column)))
+        steps = F.transform(steps, _step(n))
+    return F.when(word.rlike(WORDS), F.element_at(steps, 1)).otherwise(word)
+
+
+def with_stem(words: DataFrame, column: str = "word", to: str = "term") -> DataFrame:
+    return words.withColumn(to, stem(F.col(column)))
 
 
 def stem_sql(source: str, column: str = "word", to: str = "term") -> str:

@@ -49,7 +49,7 @@ r{_i} AS MATERIALIZED (SELECT node, 0.85 * (coalesce(v, 0) + m / n) + 0.15 / n A
 _RANKS = f"r{PAGERANK_ROUNDS}"
 
 _WORDS = r"wd AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda x: x <> '') AS w FROM documents)"
-_SHINGLES = f"{_WORDS}, at AS (SELECT doc_id, w, unnest(range(0, len(w) - 3)) AS pos FROM wd WHERE len(w) >= 4), sh AS MATERIALIZED (SELECT doc_id, pos::INT AS pos, concat_ws(chr(31), w[pos + 1], w[pos + 2], w[pos + 3], w[pos + 4]) AS shingle FROM at)"
+_SHINGLES = f"{_WORDS}, places AS (SELECT doc_id, w, unnest(range(0, len(w) - 3)) AS pos FROM wd WHERE len(w) >= 4), sh AS MATERIALIZED (SELECT doc_id, pos::INT AS pos, concat_ws(chr(31), w[pos + 1], w[pos + 2], w[pos + 3], w[pos + 4]) AS shingle FROM places)"
 _SKETCH = f"{_SHINGLES}, hs AS (SELECT DISTINCT doc_id, ('0x' || substr(md5(shingle), 1, 15))::BIGINT AS h FROM sh), sk AS MATERIALIZED (SELECT doc_id, [{', '.join(f'min(h % {m})' for m in moduli())}] AS sketch FROM hs GROUP BY doc_id)"
 _CLASS = f"{_SKETCH}, cl AS MATERIALIZED (SELECT sketch, min(doc_id) AS rep FROM sk GROUP BY sketch)"
 _BLOCKS = ", ".join(f"md5(array_to_string(sketch[{i + 1}:{i + BLOCK}], ','))" for i in range(0, HASHES, BLOCK))
