@@ -85,28 +85,48 @@ class GrayIndex:
             shared = np.bitwise_and.reduceat(mask & ~(pattern ^ head), cuts)
             self.levels.append((pattern[cuts] & shared, shared))
 
-    def within(self, queries: np.ndarray, r: int) -> tuple[np.ndarray, np.ndarray]:
-        """(query number, place in the index) of all that differ in at most r bits."""
+    def joined(self, root: np.ndarray) -> list[np.ndarray]:
+        """For each level, the component (by root of the fingerprints) that all below a node are in, or -1."""
+        out = [root[self.order]]
+        for level in range(1, len(self.levels)):
+            cuts = np.arange(0, len(out[-1]), FANOUT)
+            low, high = np.minimum.reduceat(out[-1], cuts), np.maximum.reduceat(out[-1], cuts)
+            out.append(np.where(low == high, low, -1))
+        return out
+
+    def within(self, queries: np.ndarray, r: int, own: np.ndarray | None = None, root: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(query number, number of the fingerprint) of all that differ in at most r bits.
+
+        With `root`, the component of each fingerprint, and `own`, that of each query, groups that are wholly in the
+        query's component are pruned too: they have nothing to add to it.
+        """
+        joined = self.joined(root) if root is not None else None
         top = len(self.levels) - 1
-        pattern, mask = self.levels[top]
-        q, node = np.repeat(np.arange(len(queries)), len(pattern)), np.tile(np.arange(len(pattern)), len(queries))
-        sum_ = np.bitwise_count((queries[q] ^ pattern[node]) & mask[node]).astype(np.int16)
-        keep = sum_ <= r
-        q, node, sum_, above = q[keep], node[keep], sum_[keep], mask[node[keep]]
-        for level in range(top - 1, -1, -1):
+        q, node = np.arange(len(queries), dtype=np.int32), np.zeros(len(queries), dtype=np.int32)
+        above, sum_ = np.zeros(len(queries), dtype=np.uint64), np.zeros(len(queries), dtype=np.uint8)
+        for level in range(top, -1, -1):
             pattern, mask = self.levels[level]
-            first = node * FANOUT
-            many = np.minimum(first + FANOUT, len(pattern)) - first
-            q, above, sum_ = np.repeat(q, many), np.repeat(above, many), np.repeat(sum_, many)
-            node = np.repeat(first - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(int(many.sum()))
+            if level < top:
+                first = node * FANOUT
+                many = np.minimum(first + FANOUT, len(pattern)) - first
+                q, above, sum_ = np.repeat(q, many), np.repeat(above, many), np.repeat(sum_, many)
+                ends = np.cumsum(many, dtype=np.int64)
+                node = (np.repeat(first - (ends - many), many) + np.arange(len(q))).astype(np.int32)
             sum_ = sum_ + np.bitwise_count((queries[q] ^ pattern[node]) & mask[node] & ~above)
             keep = sum_ <= r
-            q, node, sum_, above = q[keep], node[keep], sum_[keep], mask[node[keep]]
+            if joined is not None:
+                keep &= joined[level][node] != own[q]
+            q, node, sum_ = q[keep], node[keep], sum_[keep]
+            above = mask[node]
         return q, self.order[node]
 
 
-def forest(fps: np.ndarray, r: int, block: int = 512) -> list[tuple[int, int]]:
-    """Edges (indices into fps) that connect the same fingerprints as all links of at most r bits do, at most len(fps) - 1."""
+def forest(fps: np.ndarray, r: int, pairs: int = 1 << 20) -> list[tuple[int, int]]:
+    """Edges (indices into fps) that connect the same fingerprints as all links of at most r bits do, at most len(fps) - 1.
+
+    Queries go in blocks of about `pairs` comparisons at worst, the first ones small: once a dense group is joined,
+    its nodes are pruned for all its members.
+    """
     n = len(fps)
     if n == 2:
         return [(0, 1)] if int(np.bitwise_count(fps[0] ^ fps[1])) <= r else []
@@ -118,18 +138,19 @@ def forest(fps: np.ndarray, r: int, block: int = 512) -> list[tuple[int, int]]:
             i = root[i]
         return i
 
-    for lo in range(0, n, block):
-        q, other = index.within(fps[index.order[lo : lo + block]], r)
-        q = index.order[lo + q]
-        # Most pairs of a dense group are known to be joined; only the rest is looked at one by one.
-        keep = (q < other) & (root[q] != root[other])
-        for a, b in zip(q[keep].tolist(), other[keep].tolist(), strict=True):
+    lo, block = 0, 16
+    while lo < n:
+        asked = index.order[lo : lo + block]
+        q, other = index.within(fps[asked], r, root[asked], root)
+        q = asked[q]
+        for a, b in zip(q.tolist(), other.tolist(), strict=True):
             a_root, b_root = find(a), find(b)
             if a_root != b_root:
                 root[max(a_root, b_root)] = min(a_root, b_root)
                 edges.append((a, b))
         while (root != root[root]).any():
             root = root[root]
+        lo, block = lo + block, min(2 * block, max(16, pairs // n))
     return edges
 
 
@@ -221,7 +242,6 @@ def near_duplicates(docs: DataFrame, r: int = 2, n: int = 3, seed: int = 42, mos
     least = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
     nodes = components(links(least.select("fp"), r, most))
     ids = least.join(nodes, least.fp == nodes.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
-    ids = stage_table(ids, "roots")
     # The least id of a component is summed by its root, then given to each fingerprint.
     of_root = ids.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = ids.select("fp", "root").join(of_root, "root").select("fp", "component_id")
