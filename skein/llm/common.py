@@ -31,9 +31,19 @@ def stage_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/skein-{uuid.uuid4().hex}/{name}"
 
 
-def stage_table(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: lineage ends here, and lost executors cost nothing."""
+#: Of small rows, as many as one file should have at least.
+FILE_ROWS = 1_000_000
+
+
+def stage_table(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it back: lineage ends here, and lost executors cost nothing.
+
+    `rows`, if it is known, is a bound of the number of (small) rows, which are then written to files of a million
+    at least, rather than to as many files as there are partitions.
+    """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(1 + rows // FILE_ROWS)
     path = stage_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
