@@ -7,9 +7,9 @@ window. So
 
 1. each distinct text is cut into cells (anchor hash, content hash, start), by rolling hashes in numpy;
 2. cells whose anchor stands nowhere else are dropped; equal cells are summed up before their bytes are touched;
-3. for each anchor, the distinct cells' suffixes are sorted (prefix doubling), their common prefixes computed, and one
-   stack scan walks the tree of intervals of common prefixes. An interval of at least `least` bytes whose suffixes
-   are preceded by different bytes is a maximal repeat; all places in it are its occurrences;
+3. for each anchor, the distinct cells' suffixes are sorted, their common prefixes computed, and one stack scan
+   walks the tree of intervals of common prefixes. An interval of at least `least` bytes whose suffixes are preceded
+   by different bytes is a maximal repeat; all places in it are its occurrences;
 4. occurrences are carried from cells to all texts that hold the cell, and overlapping ones are merged.
 
 Exact copies of a text are one text with a count; a text with a count over 1 is a repeat as a whole. Anchors with
@@ -71,70 +71,98 @@ def cells(data: bytes, least: int = 200, k: int = 32) -> tuple[np.ndarray, np.nd
     return np.concatenate(starts), np.concatenate(counts), np.concatenate(anchors)
 
 
-def suffix_order(x: np.ndarray, at: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes `at` of x in order, compared over at least `longest` symbols, and each one's common prefix with the one before (up to that)."""
-    n = len(x)
-    padded = np.zeros(n + 8, dtype=np.uint64)
-    padded[:n] = x
-    key = np.zeros(n, dtype=np.uint64)
-    for j in range(7):  # symbols are below 512: seven of nine bits
-        key = (key << np.uint64(9)) | padded[j : j + n]
-    ranks, m = [], 7
-    rank = np.unique(key, return_inverse=True)[1].astype(np.int64)
-    ranks.append((m, rank))
-    while m < longest:
-        nxt = np.zeros(n, dtype=np.int64)
-        nxt[: max(0, n - m)] = rank[m:] + 1 if m < n else 0
-        rank = np.unique(rank * (n + 2) + nxt, return_inverse=True)[1].astype(np.int64)
-        m *= 2
-        ranks.append((m, rank))
-    order = at[np.argsort(rank[at], kind="stable")]
-    a, b = order[:-1], order[1:]
-    lcp = np.zeros(len(a), dtype=np.int64)
-    for m, rank in reversed(ranks):
-        wide = np.append(rank, -1)
-        i, j = np.minimum(a + lcp, n), np.minimum(b + lcp, n)
-        lcp += m * ((wide[i] == wide[j]) & (i < n) & (j < n))
-    ends = np.append(x, 0)
-    for _ in range(6):
-        i, j = np.minimum(a + lcp, n), np.minimum(b + lcp, n)
-        lcp += (ends[i] == ends[j]) & (ends[i] > 0)
-    return order, np.concatenate([[0], lcp])
-
-
-def maximal_repeats(strings: list[bytes], weights: list[int] | None = None, least: int = 200) -> list[tuple[int, int, int, list[tuple[int, int]]]]:
+def window_hashes(x: np.ndarray, length: int) -> np.ndarray:
+    """A 64-bit hash of x[i : i + length] for every i at which that many bytes follow."""
+    h, m, level, out, done = _TABLE[x], 1, 0, None, 0
+    n = len(x) - length + 1
+    while True:
+        if length & m:
+            part = h[done : done + n]
+            out = part.copy() if out is None else out * _ODD[7 - level % 8] + part
+            done += m
+        if 2 * m > length:
+            return out
+        h = h[:-m] * _ODD[level % 8] + h[m:]
+        m, level = 2 * m, level + 1
+
+
+def common_prefix(x: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Equal bytes from a and from b on, at most `most`, pair by pair."""
+    out = np.zeros(len(a), dtype=np.int64)
+    open_, step = np.arange(len(a)), 64
+    while len(open_):
+        i, j = a[open_] + out[open_], b[open_] + out[open_]
+        room = most[open_] - out[open_]
+        k = np.arange(step)
+        inside = k[None, :] < room[:, None]
+        same = (x[np.minimum(i[:, None] + k, len(x) - 1)] == x[np.minimum(j[:, None] + k, len(x) - 1)]) & inside
+        run = np.where(same.all(axis=1), step, same.argmin(axis=1))
+        out[open_] += run
+        open_ = open_[(run == step) & (room > step)]
+    return out
+
+
+def maximal_repeats(strings: list[bytes], weights: list[int] | None = None, least: int = 200, chunk: int = 20_000) -> list[tuple[int, int, int, list[tuple[int, int]]]]:
     """Groups (group, parent or -1, length, [(string, offset)]).
 
     A group lists the occurrences that lie in no longer group of the same start; those of its descendants are its
     own too. A string of weight over 1 stands for so many equal ones, and is a repeat as a whole.
+
+    The suffix array holds the suffixes of `least` bytes or more whose first `least` bytes occur twice and are not
+    all preceded by the same byte: only below such a prefix can an interval be a maximal repeat. Prefixes are sorted
+    out by hash, then suffixes in order of their bytes, some `chunk` at a time.
     """
     weights = weights or [1] * len(strings)
     lengths = np.array([len(s) for s in strings], dtype=np.int64)
-    begins = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]])
-    x = np.zeros(int(lengths.sum()) + len(strings), dtype=np.int64)
-    owner = np.zeros(len(x), dtype=np.int64)
-    for i, s in enumerate(strings):
-        x[begins[i] : begins[i] + len(s)] = np.frombuffer(s, dtype=np.uint8).astype(np.int64) + 1
-        owner[begins[i] : begins[i] + len(s) + 1] = i
-    rest = begins[owner] + lengths[owner] - np.arange(len(x))
-    at = np.flatnonzero(rest >= least)
     groups: list[tuple[int, int, int, list[tuple[int, int]]]] = []
     for i, w in enumerate(weights):
         if w > 1 and lengths[i] >= least:
             groups.append((len(groups), -1, int(lengths[i]), [(i, 0)]))
-    if len(at) < 2:
+    begins = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+    x = np.frombuffer(b"".join(strings), dtype=np.uint8)
+    counts = np.maximum(lengths - least + 1, 0)
+    if counts.sum() < 2:
+        return groups
+    at = np.repeat(begins - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(int(counts.sum()))
+    h = window_hashes(x, least)[at]
+    by_hash = np.argsort(h, kind="stable")
+    at, h = at[by_hash], h[by_hash]
+    cut = np.concatenate([[0], np.flatnonzero(h[1:] != h[:-1]) + 1])
+    owner = np.searchsorted(begins, at, side="right") - 1
+    # Strings without a byte share their begin with the next; those have no suffix here.
+    offset = at - begins[owner]
+    left = np.where(offset > 0, x[np.maximum(at - 1, 0)].astype(np.int64), -2)  # -2: nothing known before it, which differs from all
+    many = np.diff(np.append(cut, len(at)))
+    differ = (np.minimum.reduceat(left, cut) != np.maximum.reduceat(left, cut)) | (np.minimum.reduceat(left, cut) == -2)
+    wanted = np.repeat((many > 1) & differ, many)
+    at, h, owner, offset, left = at[wanted], h[wanted], owner[wanted], offset[wanted], left[wanted]
+    if not len(at):
         return groups
-    order, lcp = suffix_order(x, at, int(lengths.max()))
-    lcp[1:] = np.minimum(lcp[1:], np.minimum(rest[order[:-1]], rest[order[1:]]))
-    offset = order - begins[owner[order]]
-    left = np.where(offset > 0, x[np.maximum(order - 1, 0)], -2)  # -2: nothing known before it, which differs from all
+    edges = np.concatenate([[0], np.flatnonzero(h[1:] != h[:-1]) + 1, [len(at)]])
+    rest = lengths[owner] - offset
+    lo = 0
+    while lo < len(edges) - 1:
+        hi = max(lo + 1, int(np.searchsorted(edges, edges[lo] + chunk, side="right")) - 1)
+        a, b = int(edges[lo]), int(edges[hi])
+        suffixes = [strings[i][o:] for i, o in zip(owner[a:b].tolist(), offset[a:b].tolist(), strict=True)]
+        order = np.array(sorted(range(b - a), key=suffixes.__getitem__), dtype=np.int64) + a
+        del suffixes
+        lcp = np.zeros(b - a, dtype=np.int64)
+        for k in range(0, b - a - 1, 8192):
+            p, q = order[k : min(k + 8192, b - a - 1)], order[k + 1 : k + 1 + min(8192, b - a - 1 - k)]
+            lcp[k + 1 : k + 1 + len(p)] = common_prefix(x, at[p], at[q], np.minimum(rest[p], rest[q]))
+        scan(lcp, owner[order].tolist(), offset[order].tolist(), left[order].tolist(), least, groups)
+        lo = hi
+    return groups
+
+
+def scan(lcp: np.ndarray, who: list[int], off: list[int], before: list[int], least: int, groups: list) -> None:
+    """One stack scan of an enhanced suffix array; adds its maximal repeats to groups."""
     deep = np.flatnonzero(lcp >= least)
     if not len(deep):
-        return groups
+        return
     # Runs of neighbours with a long common prefix; each is a tree of its own.
-    cut = np.flatnonzero(np.diff(deep) > 1) + 1
-    who, off, before = owner[order].tolist(), offset.tolist(), left.tolist()
-    for run in np.split(deep, cut):
+    for run in np.split(deep, np.flatnonzero(np.diff(deep) > 1) + 1):
         lo, hi = int(run[0]) - 1, int(run[-1])
         depth = lcp[lo + 1 : hi + 1].tolist() + [0]
         # Stack of open intervals: depth, preceding byte of all (-2: they differ), occurrences not yet in a group, groups below.
@@ -163,7 +191,6 @@ def maximal_repeats(strings: list[bytes], weights: list[int] | None = None, leas
                 else:
                     stack.append([d, carry_left, carry, below])
             leaf += 1
-    return groups
 
 
 def _binary(df: DataFrame) -> DataFrame:
@@ -292,7 +319,7 @@ def repeats(docs: DataFrame, cut: DataFrame, least: int = 200, most: int = 20_00
 
 def repeated_spans(docs: DataFrame, least: int = 200, k: int = 32, most: int = 20_000) -> DataFrame:
     """(tid, spans): for each distinct text with a repeat, its maximal runs of repeated bytes as a flat array of starts and ends."""
-    cut = stage_table(shared_cells(docs, least, k), "shared")
+    cut = shared_cells(docs, least, k)
     found = repeats(docs, cut, least, most).groupBy("h", "c", "n").agg(F.collect_list(F.struct("off", "length")).alias("places"))
     starts = F.concat(F.array("start"), F.coalesce("more", F.array().cast("array<int>")))
     by_text = cut.join(found, ["h", "c", "n"]).select("tid", starts.alias("starts"), "places").groupBy("tid").agg(F.collect_list(F.struct("starts", "places")).alias("parts"))
@@ -348,7 +375,7 @@ def dedup(docs: DataFrame, least: int = 200, k: int = 32, most: int = 20_000, ke
         rows = rows.drop("text")
     rows = rows.drop("_bytes")
     copies = _binary(docs.select("text")).groupBy("tid").agg(F.count("*").alias("rows")).where("rows > 1")
-    about = stage_table(changed.join(copies, "tid", "full_outer"), "changed")
+    about = changed.join(copies, "tid", "full_outer")
     whole = (F.col("rows") > 1) & (F.col("n_bytes") >= least)
     whole = F.coalesce(whole, F.lit(False))
     out = (
