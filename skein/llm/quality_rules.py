@@ -15,6 +15,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import stage_table
+
 SYMBOLS = "[#*$%&|<>]"
 
 
@@ -105,11 +107,10 @@ def order_rules(docs: DataFrame, candidates: list[Rule], sample_rows: int = 500)
 
     With no rows, or none rejected, rules keep the order they are given in.
     """
-    sample = featured(docs.select("doc_id", "text").limit(sample_rows)).collect()
-    if not sample:
+    held = stage_table(featured(docs.select("doc_id", "text").limit(sample_rows)), "sample", sample_rows)
+    rows = held.count()
+    if not rows:
         return [(r, 0.0, 0.0) for r in candidates]
-    spark = docs.sparkSession
-    held = spark.createDataFrame([tuple(r) for r in sample], "doc_id string, text string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long".replace("doc_id string", f"doc_id {dict(docs.dtypes)['doc_id']}"))
 
     def timed(fails: Column) -> tuple[int, float]:
         began = time.perf_counter()
@@ -121,7 +122,7 @@ def order_rules(docs: DataFrame, candidates: list[Rule], sample_rows: int = 500)
     found = []
     for r in candidates:
         n, s = timed(r.fails)
-        found.append((r, n / len(sample), max(s - floor, 1e-3)))
+        found.append((r, n / rows, max(s - floor, 1e-3)))
     return sorted(found, key=lambda x: -x[1] / x[2])
 
 
