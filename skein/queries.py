@@ -34,11 +34,11 @@ BOOLEAN = {
 }
 #: host to robots.txt, and (host, path, agent) asked for.
 ROBOTS = [
-    ("a.example", "User-agent: *\nDisallow: /private\nDisallow: \n\nUser-agent: Friendly Crawler\nDisallow: /tmp/\n"),
+    ("a.example", "User-agent: *\nDisallow: /private\nDisallow: \n\nUser-agent: Example Bot\nDisallow: /tmp/\n"),
     ("b.example", "Disallow: /lost\nUser-Agent: One\nUser-agent: Two\nDisallow: /\nAllow: /x\nUser-agent: *\nDisallow: /q"),
     ("c.example", ""),
 ]
-REQUESTS = [(h, p, a) for h in ("a.example", "b.example", "c.example", "d.example") for p in ("", "/", "/private/x", "/tmp/y", "/q1", "/lost") for a in ("*", "Friendly Crawler", "One", "Two")]
+REQUESTS = [(h, p, a) for h in ("a.example", "b.example", "c.example", "d.example") for p in ("", "/", "/private/x", "/tmp/y", "/q1", "/lost") for a in ("*", "Example Bot", "One", "Two")]
 PAGERANK_ROUNDS = 5
 NOW = 1_000_000
 
