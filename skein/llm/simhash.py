@@ -202,12 +202,13 @@ def links(distinct: DataFrame, r: int = 2, most: int = 50_000) -> DataFrame:
         if (out := flush()) is not None:
             yield out
 
-    found = buckets.where(F.col("n") <= most).drop("n").sortWithinPartitions("choice", "key").mapInArrow(search, "a long, b long")
+    def searched(part: DataFrame) -> DataFrame:
+        return part.drop("n").sortWithinPartitions("choice", "key").mapInArrow(search, "a long, b long")
 
-    half, rest = r // 2, r - r // 2
-    if half != rest:
-        # An odd r: one end goes half the way rounded down, the other rounded up; all go the longer way here.
-        half = rest
+    if r % 2:
+        # Meeting at rounded-up halves would also link r + 1, so an odd r has all its buckets searched.
+        return searched(buckets).distinct()
+    half = r // 2
 
     def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flips = np.array([sum(1 << i for i in c) for k in range(half + 1) for c in combinations(range(64), k)], dtype=np.uint64)
@@ -219,13 +220,10 @@ def links(distinct: DataFrame, r: int = 2, most: int = 50_000) -> DataFrame:
                 points = (f.view(np.uint64)[:, None] ^ flips[None, :]).reshape(-1).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(points), pa.array(np.repeat(f, len(flips)))], ["point", "fp"])
 
-    if r % 2:
-        # Meeting at rounded-up halves would also link r + 1; so an odd r keeps all buckets in the tree search.
-        return buckets.drop("n").sortWithinPartitions("choice", "key").mapInArrow(search, "a long, b long").distinct()
     hot = buckets.where(F.col("n") > most).select("fp").distinct().mapInArrow(around, "point long, fp long")
     # Two at a distance of at most r share a point, and those that share one are that near: stars by map-side minimum.
     stars = hot.groupBy("point").agg(F.min("fp").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return found.unionByName(hot.join(stars, "point").where("fp <> b").select(F.col("fp").alias("a"), "b")).distinct()
+    return searched(buckets.where(F.col("n") <= most)).unionByName(hot.join(stars, "point").where("fp <> b").select(F.col("fp").alias("a"), "b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, r: int = 2, n: int = 3, seed: int = 42, most: int = 50_000) -> DataFrame:
