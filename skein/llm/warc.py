@@ -85,10 +85,16 @@ def records(pages: DataFrame, least: int = 0, epoch: int = 1_577_836_800) -> Dat
     return resolved(pages).select("page_id", "url", "html", "keeper").mapInArrow(run, "record binary")
 
 
+def archives(pages: DataFrame, least: int = 16 << 20, most: int = 1 << 30, number: int = 1000) -> int:
+    """How many files to write: about `number`, but of no less than `least` and no more than `most` bytes of payload each."""
+    total = pages.agg(F.sum(F.octet_length("html").cast("long")).alias("n")).first()["n"] or 0
+    return 1 + total // min(most, max(least, total // number))
+
+
 def write(pages: DataFrame, path: str, compression: str = "gzip", per_file: int = 5000) -> None:
     """Archives under path, of at most per_file records each; compression gzip or none."""
     # Text columns may hold any bytes; the writer puts them out as they are.
-    lines = records(pages).select(F.col("record").cast("string").alias("value"))
+    lines = records(pages).coalesce(archives(pages)).select(F.col("record").cast("string").alias("value"))
     lines.write.option("lineSep", END).option("compression", compression).option("maxRecordsPerFile", per_file).text(path)
 
 
