@@ -127,9 +127,9 @@ def pack(docs: DataFrame, window: int = 1024, path: str | None = None, end: int
     """
     stored = stage_table(tokens(docs, path, end), "tokens")
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    # One row for each partition of the input.
+    # One row of two longs for each task of pass one, which is no more than the driver keeps of every task anyway.
     base = stored.groupBy("part").agg(F.sum("n").alias("total")).select("part", F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("base"))
-    placed = stored.join(base, "part").select("doc_id", (F.col("base") + F.col("before")).alias("at"), "n", "width", "ids")
+    placed = stored.join(F.broadcast(base), "part").select("doc_id", (F.col("base") + F.col("before")).alias("at"), "n", "width", "ids")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
