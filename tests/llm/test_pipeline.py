@@ -1,5 +1,6 @@
 """The pipeline against a plain version of each stage."""
 
+import random
 from collections import Counter
 
 import pytest
@@ -60,3 +61,39 @@ def test_run(spark, docs, tmp_path):
     assert P.run(spark, str(tmp_path)).count() > 0
     docs.limit(0).write.parquet(str(tmp_path / "none/documents.parquet"))
     assert P.run(spark, str(tmp_path / "none")).count() == 0
+
+
+def jaccard(x, y, n=5):
+    x, y = ({tuple(t[i : i + n]) for i in range(max(1, len(t) - n + 1))} for t in (x, y))
+    return len(x & y) / len(x | y)
+
+
+def near_rows():
+    """Texts of 100 to 300 words and copies with words changed; every pair of similarity 0.8 or more is to be linked, and no other."""
+    rng, out = random.Random(3), []
+    for g in range(60):
+        text = [f"w{rng.randint(0, 5000)}" for _ in range(rng.randint(100, 300))]
+        for c in range(rng.randint(1, 4)):
+            t = list(text)
+            for _ in range(c * rng.randint(0, 3)):
+                t[rng.randrange(len(t))] = f"x{rng.randint(0, 5000)}"
+            out.append((10 * g + c, " ".join(t)))
+    return out
+
+
+def components_of(rows, linked):
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if root[i] != root[j] and linked(rows[i][1].split(), rows[j][1].split()):
+                root = [root[j] if x == root[i] else x for x in root]
+    return root
+
+
+def test_near_copies_by_five_word_shingles(spark):
+    rows = near_rows()
+    root = components_of(rows, lambda x, y: jaccard(x, y) >= 0.8)
+    want = {min(d for (d, _), r in zip(rows, root, strict=True) if r == k) for k in set(root)}
+    assert len(want) < len(rows) - 40
+    got = P.near_dedup(spark, spark.createDataFrame([(d, t, "en", "a", 1) for d, t in rows], SCHEMA), "")
+    assert Counter(x.doc_id for x in got.collect()) == Counter(want)
