@@ -14,12 +14,13 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from .common import id_crc
 
@@ -120,6 +121,14 @@ def fit(sample: list[tuple[str, str]], space: Space) -> tuple[list[str], np.ndar
     return names, np.stack([unit(np.mean(sums[n], axis=0)) for n in names])
 
 
+def noise(space: Space, languages: int, chance: float) -> float:
+    """What the best cosine of a text that shares no n-gram with any of `languages` exceeds with that chance.
+
+    Each cosine has mean 0 and a deviation of 1 over the root of the dimensions, however long the text is.
+    """
+    return NormalDist().inv_cdf(1 - chance / max(1, languages)) / space.dims**0.5
+
+
 def training_rows(docs: DataFrame, rows: int = 2000, modulus: int = 4, held: int = 2) -> list[tuple[str, str]]:
     """At most `rows` (text, lang), the first by a hash of the id; only non-null lang, and no row with crc32(doc_id) % modulus = held."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).where(id_crc(F.col("doc_id")) % modulus != held)
@@ -129,24 +138,27 @@ def training_rows(docs: DataFrame, rows: int = 2000, modulus: int = 4, held: int
     return [(r["text"], r["lang"]) for r in sorted(texts, key=lambda r: (str(r["doc_id"]), r["text"]))]
 
 
-def identify(docs: DataFrame, names: list[str], prototypes: np.ndarray, space: Space, no_letters: str = "und") -> DataFrame:
+def identify(docs: DataFrame, names: list[str], prototypes: np.ndarray, space: Space, no_letters: str = "und", grams: str | None = None) -> DataFrame:
     """docs plus lang_pred string, score double.
 
     The score is the cosine, mapped from [-1, 1] to [0, 1]. A null text, or one without a letter, is `no_letters`
     with score 0, and so is every text if nothing was learned. Ties go to the language that sorts first. Rows and
-    columns of docs are kept as they are; existing columns of those names are replaced.
+    columns of docs are kept as they are; existing columns of those names are replaced. `grams` names one more column,
+    the number of distinct n-grams, if it is given.
     """
-    docs = docs.drop("lang_pred", "score")
+    added = ["lang_pred", "score", *([grams] if grams else [])]
+    docs = docs.drop(*added)
     dims, n, seed = space.dims, space.n, space.seed
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Space(dims, n, seed)
         table = Table(own)
         for b in batches:
-            best, score = [], []
+            best, score, many = [], [], []
             for t in b.column(b.schema.get_field_index("text")):
                 t = t.as_py()
                 codes, counts = own.grams(t) if t and names else ((), ())
+                many.append(len(codes))
                 if not len(codes):
                     best.append(no_letters)
                     score.append(0.0)
@@ -155,7 +167,8 @@ def identify(docs: DataFrame, names: list[str], prototypes: np.ndarray, space: S
                 k = int(np.argmax(cos))
                 best.append(names[k])
                 score.append(float(min(1.0, max(0.0, (1 + cos[k]) / 2))))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(best, pa.string()), pa.array(score, pa.float64())], [*b.schema.names, "lang_pred", "score"])
+            columns = [pa.array(best, pa.string()), pa.array(score, pa.float64()), pa.array(many, pa.int64())][: len(added)]
+            yield pa.RecordBatch.from_arrays([*b.columns, *columns], [*b.schema.names, *added])
 
-    schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    schema = StructType([*docs.schema.fields, *[StructField(c, t) for c, t in zip(added, (StringType(), DoubleType(), LongType()), strict=False)]])
     return docs.mapInArrow(run, schema)

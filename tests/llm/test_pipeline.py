@@ -97,3 +97,13 @@ def test_near_copies_by_five_word_shingles(spark):
     assert len(want) < len(rows) - 40
     got = P.near_dedup(spark, spark.createDataFrame([(d, t, "en", "a", 1) for d, t in rows], SCHEMA), "")
     assert Counter(x.doc_id for x in got.collect()) == Counter(want)
+
+
+def test_only_texts_long_enough_are_judged_unlike(spark):
+    rng = random.Random(4)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randint(2, 9)))
+    rows = [(i, " ".join(word("abcdefgh" if i % 2 else "mnopqrst") for _ in range(80)), "en" if i % 2 else "fr", "a", 1) for i in range(80)]
+    short = [(1000 + i, word("abcdefgh"), None, "a", 1) for i in range(200)]
+    other = [(2000 + i, " ".join(word([chr(0x0E01 + k) for k in range(40)]) for _ in range(40)), None, "a", 1) for i in range(120)]
+    got = {x.doc_id for x in P.language(spark, spark.createDataFrame(rows + short + other, SCHEMA), "").collect()}
+    assert got == {x[0] for x in rows + short}
