@@ -188,6 +188,19 @@ def q_pagerank_top10(s, d):
     return _pagerank(s, d).orderBy(F.round("rank", 12).desc(), "node").limit(TOP).select("node", F.round("rank", 9).alias("rank"))
 
 
+def _pagerank_settled(s, d):
+    return G.pagerank(*_trade(s, d))
+
+
+def q_pagerank_settled(s, d):
+    """With the operator's defaults: until no rank moves, or 100 rounds."""
+    return _pagerank_settled(s, d).select("node", F.round("rank", 9).alias("rank"))
+
+
+def q_pagerank_settled_top10(s, d):
+    return _pagerank_settled(s, d).orderBy(F.round("rank", 12).desc(), "node").limit(TOP).select("node", F.round("rank", 9).alias("rank"))
+
+
 def q_link_pagerank(s, d):
     """Among crawled pages alone, as a search engine has it; on these tables no link leads to one, so all are dangling."""
     pages = table(s, d, "pages").withColumn("url", U.normalize(F.col("url")))

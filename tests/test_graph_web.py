@@ -117,3 +117,25 @@ def test_streams_end_as_the_batch_does(spark, tmp_path):
     q.awaitTermination()
     want = {(r.url, r.at) for r in FR.politeness_schedule(firsts).collect()}
     assert {(r.url, r["at"]) for r in spark.table("scheduled").collect()} == want
+
+
+def test_registered_pagerank_settles(spark, tmp_path):
+    from skein.queries import QUERIES
+
+    bought = [(0, 0), (0, 1), (1, 1), (2, 1), (3, 2), (4, 2), (4, 0), (5, 1)]
+    spark.createDataFrame([(i, c) for i, (c, _) in enumerate(bought)], "o_orderkey long, o_custkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    spark.createDataFrame([(i, k) for i, (_, k) in enumerate(bought)], "l_orderkey long, l_suppkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    nodes = sorted({f"c{c}" for c, _ in bought} | {f"s{k}" for _, k in bought})
+    m = np.zeros((len(nodes), len(nodes)))
+    for c, k in bought:
+        m[nodes.index(f"c{c}"), nodes.index(f"s{k}")] = 1
+    m[m.sum(axis=1) == 0] = 1
+    m = 0.85 * m / m.sum(axis=1, keepdims=True) + 0.15 / len(nodes)
+    state, rounds = np.full(len(nodes), 1 / len(nodes)), 0
+    for rounds in range(1, 101):
+        old, state = state, state @ m
+        if np.allclose(state, old):
+            break
+    assert rounds > 5
+    got = {r.node: r["rank"] for r in QUERIES["pagerank_settled"](spark, str(tmp_path)).collect()}
+    assert np.allclose([got[n] for n in nodes], state, rtol=0, atol=1e-9)
