@@ -107,3 +107,13 @@ def test_only_texts_long_enough_are_judged_unlike(spark):
     other = [(2000 + i, " ".join(word([chr(0x0E01 + k) for k in range(40)]) for _ in range(40)), None, "a", 1) for i in range(120)]
     got = {x.doc_id for x in P.language(spark, spark.createDataFrame(rows + short + other, SCHEMA), "").collect()}
     assert got == {x[0] for x in rows + short}
+
+
+def test_each_component_keeps_one_row_where_ids_tie_or_are_null(spark):
+    rng = random.Random(5)
+    text = lambda: [f"w{rng.randint(0, 5000)}" for _ in range(150)]
+    one, two, three = text(), text(), text()
+    rows = [(1, one), (1, two), (None, three), (None, [*three[:-1], "changed"]), (None, ["changed", *three[1:]])]
+    got = P.near_dedup(spark, spark.createDataFrame([(d, " ".join(t), "en", "a", 1) for d, t in rows], SCHEMA), "").collect()
+    assert sorted(x.text for x in got if x.doc_id == 1) == sorted([" ".join(one), " ".join(two)])
+    assert len(got) == 3
