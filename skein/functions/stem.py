@@ -41,17 +41,15 @@ def _steps() -> list[list[tuple[str, str | None, str, str]]]:
         [(f"{s}$", held(M0, s), f"{s}$", STEP2[s]) for s in by_length(STEP2)],
         [(f"{s}$", held(M0, s), f"{s}$", STEP3[s]) for s in by_length(STEP3)],
         [(f"{s}$", held(M1, s), f"{s}$", "") for s in by_length(STEP4)[:4]] + [("[st]ion$", f"{M1}.*ion$", "ion$", ""), ("ion$", "^$", "$", "")] + [(f"{s}$", held(M1, s), f"{s}$", "") for s in by_length(STEP4)[4:]],
-        [("e$", held(M1, "e"), "e$", ""), ("e$", EQ1.replace("$", "e$"), "e#$", "")],
+        [("e$", held(M1, "e"), "e$", "")],  # or a stem of measure 1 that doesn't end in consonant-vowel-consonant; see FINAL_E
         [("ll$", held(M1, "l"), "l$", "")],
         [("^Y", None, "^Y", "y")],
     ]
 
 
-def _final_e(word: str) -> tuple[str, str]:
-    return EQ1.replace("$", "e$"), CVC.replace("$", "e$")
-
-
 STEPS = _steps()
+#: The step of the final e, whose second condition is that one pattern holds and another doesn't.
+FINAL_E, E_ONE, E_CVC = 8, EQ1.replace("$", "e$"), CVC.replace("$", "e$")
 WORDS = "^[a-z]{3,}$"
 
 
@@ -60,9 +58,8 @@ def stem_word(word: str) -> str:
     if not re.search(WORDS, word):
         return word
     for n, step in enumerate(STEPS):
-        if n == 8:
-            one, cvc = _final_e(word)
-            if word.endswith("e") and (re.search(step[0][1], word) or (re.search(one, word) and not re.search(cvc, word))):
+        if n == FINAL_E:
+            if word.endswith("e") and (re.search(step[0][1], word) or (re.search(E_ONE, word) and not re.search(E_CVC, word))):
                 word = word[:-1]
             continue
         for seen, cond, cut, put in step:
@@ -75,9 +72,8 @@ def stem_word(word: str) -> str:
 
 def _case(word: Column, n: int) -> Column:
     step = STEPS[n]
-    if n == 8:
-        one, cvc = _final_e("")
-        return F.when(word.endswith("e") & (word.rlike(step[0][1]) | (word.rlike(one) & ~word.rlike(cvc))), F.regexp_replace(word, "e$", "")).otherwise(word)
+    if n == FINAL_E:
+        return F.when(word.endswith("e") & (word.rlike(step[0][1]) | (word.rlike(E_ONE) & ~word.rlike(E_CVC))), F.regexp_replace(word, "e$", "")).otherwise(word)
     out = None
     for seen, cond, cut, put in step:
         done = F.regexp_replace(word, cut, put)
@@ -109,9 +105,8 @@ def stem_sql(source: str, column: str = "word", to: str = "term") -> str:
     has = lambda p: f"regexp_matches({to}, {q(p)})"
     sql = f"(SELECT *, {column} AS {to} FROM {source})"
     for n, step in enumerate(STEPS):
-        if n == 8:
-            one, cvc = _final_e("")
-            case = f"CASE WHEN {has('e$')} AND ({has(step[0][1])} OR ({has(one)} AND NOT {has(cvc)})) THEN regexp_replace({to}, 'e$', '')"
+        if n == FINAL_E:
+            case = f"CASE WHEN {has('e$')} AND ({has(step[0][1])} OR ({has(E_ONE)} AND NOT {has(E_CVC)})) THEN regexp_replace({to}, 'e$', '')"
         else:
             whens = []
             for seen, cond, cut, put in step:

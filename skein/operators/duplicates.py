@@ -143,6 +143,7 @@ def duplicates(docs: DataFrame, min_overlap: int = 2, min_similarity: float = 0.
 
 def exact_jaccard(docs: DataFrame, pairs: DataFrame, n: int = N) -> DataFrame:
     """(a, b, jaccard): the similarity of the shingle sets themselves, for given pairs."""
-    sets = shingles(docs, n).groupBy("doc_id").agg(F.collect_set("shingle").alias("s"))
+    asked = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    sets = shingles(docs.join(asked, "doc_id", "left_semi"), n).groupBy("doc_id").agg(F.collect_set("shingle").alias("s"))
     p = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
     return p.select("a", "b", jaccard(F.col("sa"), F.col("sb")).alias("jaccard"))

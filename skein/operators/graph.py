@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..session import materialize
@@ -29,21 +29,23 @@ def pagerank(edges: DataFrame, nodes: DataFrame, alpha: float = 0.15, iterations
 
     A round joins ranks with edges, sums by target, and adds two scalars (the jump's share and the dangling nodes'
     mass over N), so it costs one pass over the edges. With `stop` it ends when every node moved by no more than
-    atol + rtol * old. Every round is written to the shared folder; only scalars reach the driver.
+    atol + rtol * old. Every round is one write to the shared folder, which also observes the scalars of the next.
     """
     nodes = materialize(nodes.select("node").distinct(), "nodes")
     n = nodes.count()
     if not n:
         return nodes.withColumn("rank", F.lit(0.0))
-    probs = transition_probs(in_graph(edges, nodes))
-    probs = materialize(probs, "probs")
+    probs = materialize(transition_probs(in_graph(edges, nodes)), "probs")
     dangling = nodes.join(probs.select(F.col("src").alias("node")).distinct(), "node", "left_anti").withColumn("dangling", F.lit(True))
-    state = materialize(nodes.join(dangling, "node", "left").select("node", F.coalesce("dangling", F.lit(False)).alias("dangling"), F.lit(1.0 / n).alias("rank"), F.lit(None).cast("double").alias("old")), "ranks")
-    for _ in range(iterations):
-        lost = state.agg(F.coalesce(F.sum(F.when(F.col("dangling"), F.col("rank"))), F.lit(0.0)).alias("m")).first()["m"]
-        into = probs.join(state.select(F.col("node").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") * F.col("p")).alias("into"))
-        fresh = (1 - alpha) * (F.coalesce("into", F.lit(0.0)) + lost / n) + alpha / n
-        state = materialize(state.select("node", "dangling", F.col("rank").alias("old")).join(into, "node", "left").select("node", "dangling", fresh.alias("rank"), "old"), "ranks")
-        if stop and state.agg(F.max(F.abs(F.col("rank") - F.col("old")) - rtol * F.abs("old")).alias("d")).first()["d"] <= atol:
+    state = nodes.join(dangling, "node", "left").select("node", F.coalesce("dangling", F.lit(False)).alias("dangling"), F.lit(1.0 / n).alias("rank"), F.lit(None).cast("double").alias("old"))
+    lost = F.sum(F.when(F.col("dangling"), F.col("rank"))).alias("lost")
+    moved = F.max(F.abs(F.col("rank") - F.col("old")) - rtol * F.abs("old")).alias("moved")
+    for turn in range(iterations + 1):
+        seen = Observation()
+        state = materialize(state.observe(seen, lost, moved), "ranks")
+        if turn == iterations or (stop and turn and seen.get["moved"] <= atol):
             break
+        into = probs.join(state.select(F.col("node").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") * F.col("p")).alias("into"))
+        fresh = (1 - alpha) * (F.coalesce("into", F.lit(0.0)) + (seen.get["lost"] or 0.0) / n) + alpha / n
+        state = state.select("node", "dangling", F.col("rank").alias("old")).join(into, "node", "left").select("node", "dangling", fresh.alias("rank"), "old")
     return state.select("node", "rank")

@@ -2,12 +2,13 @@
 
 Weights are tf + log10(N / df), a sum, with tf the plain count; a document's length is the root of the sum over its
 token occurrences of the squared weight. N counts all documents, those without a token included. Terms are stemmed
-once each, on the distinct vocabulary, after occurrences have been summed up by word and document.
+once each, on the distinct vocabulary, after occurrences have been summed up by word and document. Index stores what
+every query needs; the functions work on any postings.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.stem import with_stem
@@ -40,12 +41,38 @@ def pairs(docs: DataFrame) -> DataFrame:
 
 
 def postings(docs: DataFrame) -> DataFrame:
-    """(term, doc_id, tf)."""
+    """(term, doc_id, tf).
+
+    Each distinct word is stemmed once. The stem reads an aggregate, so that a filter on terms can't be pushed down to
+    word occurrences, nor be inferred for the other side of the join; both sides share the exchange of the counts.
+    """
     counted = pairs(docs).groupBy("word", "doc_id").agg(F.count("*").alias("tf"))
-    vocabulary = with_stem(counted.select("word").distinct())
+    known = counted.groupBy("word").agg(F.sum("tf").alias("_all")).withColumn("_w", F.when(F.col("_all") > 0, F.col("word")))
+    vocabulary = with_stem(known, "_w").select("word", "term")
     return counted.join(vocabulary, "word").groupBy("term", "doc_id").agg(F.sum("tf").alias("tf"))
 
 
+class Index:
+    """A stored index: postings (term, doc_id, tf), ranged by term so that a query's terms prune the scan, and lengths (doc_id, length)."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.postings, self.lengths = (spark.read.parquet(f"{path.rstrip('/')}/{name}") for name in ("postings", "lengths"))
+        self.size = self.lengths.agg(F.count("*").alias("n"))
+
+    @staticmethod
+    def build(docs: DataFrame, path: str, mode: str = "errorifexists") -> Index:
+        """Writes the index of docs(doc_id, text) to path, in one pass over the texts, and opens it."""
+        spark, path = docs.sparkSession, path.rstrip("/")
+        postings(docs).repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode(mode).parquet(f"{path}/postings")
+        weights = tf_idf(spark.read.parquet(f"{path}/postings"), corpus_size(docs))
+        doc_length(weights, docs).write.mode(mode).parquet(f"{path}/lengths")
+        return Index(spark, path)
+
+    def weights(self, terms: DataFrame) -> DataFrame:
+        """tf_idf() of a query's terms (term), a few rows, from their postings alone."""
+        return tf_idf(self.postings.join(F.broadcast(terms), "term", "left_semi"), self.size)
+
+
 def document_frequency(post: DataFrame) -> DataFrame:
     return post.groupBy("term").agg(F.count("*").alias("df"))
 

@@ -45,3 +45,8 @@ def rank_combined(ranked: DataFrame, pagerank: DataFrame, share: float = 0.5) ->
     """Ranked (doc_id, score) joined with pagerank (doc_id, rank): the share of the one and the rest of the other."""
     both = ranked.join(pagerank, "doc_id", "left")
     return both.select("doc_id", (F.col("score") * share + F.coalesce("rank", F.lit(0.0)) * (1 - share)).alias("score"))
+
+
+def with_url(ranked: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """Ranked (doc_id, score) with the URL of each id, by vocabulary (doc_id, url); an id without one keeps null."""
+    return ranked.join(vocabulary.select("doc_id", "url"), "doc_id", "left").select("doc_id", "url", "score")

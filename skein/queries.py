@@ -11,6 +11,7 @@ from .functions import urls as U
 from .functions.html import html_text
 from .functions.stem import with_stem
 from .functions.text import doc_preprocess, raw_tokens, tokens
+from .operators import crawl as C
 from .operators import duplicates as D
 from .operators import frontier as FR
 from .operators import graph as G
@@ -19,12 +20,13 @@ from .operators import rank as R
 from .operators import robots as RB
 from .operators import web as W
 from .plans import boolean_query as B
-from .session import materialize, table
+from .plans.search import CHAMPIONS, TOP, ranked, search
+from .session import materialize, stored, table
 from .sources.corpus import crawl_counters
 
 #: Terms that the synthetic documents have; "the" is a stop word.
 QUERY = "the thing worthless tioning"
-CHAMPIONS, TOP = 50, 10
+PAGE_QUERY = "tion ado"
 BOOLEAN = {
     "bool_term": "thing",
     "bool_and": "thing AND tion",
@@ -39,8 +41,7 @@ ROBOTS = [
     ("c.example", ""),
 ]
 REQUESTS = [(h, p, a) for h in ("a.example", "b.example", "c.example", "d.example") for p in ("", "/", "/private/x", "/tmp/y", "/q1", "/lost") for a in ("*", "Example Bot", "One", "Two")]
-PAGERANK_ROUNDS = 5
-NOW = 1_000_000
+NOW, BACK, FRONT = 1_000_000, 20, 3
 
 
 def _docs(s: SparkSession, d: str) -> DataFrame:
@@ -51,8 +52,13 @@ def _post(s: SparkSession, d: str) -> DataFrame:
     return I.postings(_docs(s, d))
 
 
+def _index(docs: DataFrame) -> I.Index:
+    return I.Index.build(docs, stored(docs.sparkSession, "index"))
+
+
 def _weights(s: SparkSession, d: str) -> DataFrame:
-    return I.tf_idf(_post(s, d), I.corpus_size(_docs(s, d)))
+    # Frequencies and postings both come from one stored table.
+    return I.tf_idf(materialize(_post(s, d), "postings"), I.corpus_size(_docs(s, d)))
 
 
 def _round(df: DataFrame, *columns: str) -> DataFrame:
@@ -135,12 +141,7 @@ def q_rank_candidates(s, d):
 
 
 def _ranked(s, d):
-    # The index's two tables are written once; a query then reads them.
-    weights = materialize(_weights(s, d), "weights")
-    terms = I.query_terms(s, QUERY)
-    # Champion lists are needed for the query's terms alone.
-    own = weights.join(F.broadcast(terms), "term", "left_semi")
-    return R.rank_cosine(weights, I.doc_length(weights, _docs(s, d)), I.champions(own, CHAMPIONS), terms)
+    return ranked(_index(_docs(s, d)), QUERY)
 
 
 def q_rank_cosine(s, d):
@@ -151,8 +152,15 @@ def q_rank_top10(s, d):
     return _round(R.top(_ranked(s, d), TOP), "score")
 
 
+def q_page_search(s, d):
+    """Pages' texts ranked for a query, with their URLs."""
+    pages = table(s, d, "pages")
+    found = search(_index(pages.select(F.col("page_id").alias("doc_id"), html_text(F.col("html")).alias("text"))), PAGE_QUERY, pages.select(F.col("page_id").alias("doc_id"), "url"))
+    return _round(found, "score")
+
+
 def q_rank_simple(s, d):
-    post = _post(s, d)
+    post = materialize(_post(s, d), "postings")
     return _round(R.rank_simple(I.log_tf(post), I.idf(post, I.corpus_size(_docs(s, d))), _docs(s, d), I.query_terms(s, QUERY)), "score")
 
 
@@ -175,42 +183,29 @@ def q_transition_probs(s, d):
     return _round(G.transition_probs(_trade(s, d)[0]), "p")
 
 
-def _pagerank(s, d):
-    return G.pagerank(*_trade(s, d), iterations=PAGERANK_ROUNDS, stop=False)
-
-
 def q_pagerank(s, d):
-    return _pagerank(s, d).select("node", F.round("rank", 9).alias("rank"))
+    return G.pagerank(*_trade(s, d)).select("node", F.round("rank", 9).alias("rank"))
 
 
 def q_pagerank_top10(s, d):
     # Ranks that differ by less than 1e-12 are ties, which the node's name breaks.
-    return _pagerank(s, d).orderBy(F.round("rank", 12).desc(), "node").limit(TOP).select("node", F.round("rank", 9).alias("rank"))
-
-
-def _pagerank_settled(s, d):
-    return G.pagerank(*_trade(s, d))
+    return G.pagerank(*_trade(s, d)).orderBy(F.round("rank", 12).desc(), "node").limit(TOP).select("node", F.round("rank", 9).alias("rank"))
 
 
-def q_pagerank_settled(s, d):
-    """With the operator's defaults: until no rank moves, or 100 rounds."""
-    return _pagerank_settled(s, d).select("node", F.round("rank", 9).alias("rank"))
-
-
-def q_pagerank_settled_top10(s, d):
-    return _pagerank_settled(s, d).orderBy(F.round("rank", 12).desc(), "node").limit(TOP).select("node", F.round("rank", 9).alias("rank"))
+def _web_ranks(s, d):
+    """Over crawled pages and all that they link to; the latter link nowhere."""
+    pages = table(s, d, "pages").withColumn("url", U.normalize(F.col("url")))
+    edges = W.link_graph(W.hyperlinks(pages))
+    return pages, G.pagerank(edges, pages.select(F.col("url").alias("node")).union(edges.select("dst")))
 
 
 def q_link_pagerank(s, d):
-    """Among crawled pages alone, as a search engine has it; on these tables no link leads to one, so all are dangling."""
-    pages = table(s, d, "pages").withColumn("url", U.normalize(F.col("url")))
-    return G.pagerank(W.link_graph(W.hyperlinks(pages)), pages.select(F.col("url").alias("node"))).select("node", F.round("rank", 9).alias("rank"))
+    return _web_ranks(s, d)[1].select("node", F.round("rank", 9).alias("rank"))
 
 
 def q_rank_combined(s, d):
     """Ranked documents with the PageRank of a page of the same id, where there is one."""
-    pages = table(s, d, "pages").withColumn("url", U.normalize(F.col("url")))
-    pr = G.pagerank(W.link_graph(W.hyperlinks(pages)), pages.select(F.col("url").alias("node")))
+    pages, pr = _web_ranks(s, d)
     by_id = pages.join(pr, F.col("url") == F.col("node")).select(F.col("page_id").alias("doc_id"), "rank")
     return _round(R.rank_combined(_ranked(s, d), by_id), "score")
 
@@ -241,11 +236,11 @@ def _classes(s, d):
 
 
 def q_jaccard(s, d):
-    """Of each sketch with the one of the next class."""
-    from pyspark.sql import Window
-
-    near = _classes(s, d).withColumn("bucket", F.floor(F.col("rep") / 16)).withColumn("next", F.lead("sketch").over(Window.partitionBy("bucket").orderBy("rep")))
-    return near.where("next is not null").select("rep", F.round(D.jaccard(F.col("sketch"), F.col("next")), 6).alias("similarity"))
+    """Of the sketches of every pair of candidates."""
+    reps = _classes(s, d)
+    x, y = (reps.toDF(f"s{c}", c) for c in "ab")
+    pairs = D.dup_candidates(reps).join(x, "a").join(y, "b")
+    return pairs.select("a", "b", F.round(D.jaccard(F.col("sa"), F.col("sb")), 6).alias("similarity"))
 
 
 def q_dup_candidates(s, d):
@@ -308,6 +303,13 @@ def q_crawl_batch(s, d):
     return crawl_counters(*W.crawl_batch(table(s, d, "pages")))
 
 
+def q_crawl_walk(s, d):
+    """From the pages themselves until nothing waits: all that was asked for, and whether it was found."""
+    pages = table(s, d, "pages").select(U.normalize(F.col("url")).alias("url"), "html").groupBy("url").agg(F.max("html").alias("html"))
+    done = C.run(pages, pages, _robots(s), per_host=1_000_000, most=1 << 62)
+    return done.fetched.select("url", F.col("html").isNotNull().alias("found"))
+
+
 def _robots(s):
     return s.createDataFrame(ROBOTS, "host string, robots string")
 
@@ -333,7 +335,7 @@ def q_frontier_dedup(s, d):
 
 
 def q_frontier_route(s, d):
-    return FR.frontier_route(_urls(s, d), back_queues=20, front_queues=3)
+    return FR.frontier_route(_urls(s, d), BACK, FRONT)
 
 
 def q_politeness_schedule(s, d):
@@ -346,7 +348,9 @@ def q_next_host(s, d):
 
 
 def q_push_hosts(s, d):
-    heap = FR.politeness_schedule(_urls(s, d).where("seq < 100"), start=NOW).groupBy("host").agg(F.min("at").alias("next_time"))
+    """The heap has the hosts with a back queue; the hosts of all URLs are pushed."""
+    routed = FR.frontier_route(_urls(s, d), BACK, FRONT).where("queue = 'back'")
+    heap = routed.select("host", F.lit(NOW + 3000).cast("long").alias("next_time"))
     return FR.push_hosts(heap, _urls(s, d).select(U.host(F.col("url")).alias("host")), NOW)
 
 

@@ -22,16 +22,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def materialize(df: DataFrame, name: str = "step") -> DataFrame:
-    """Write df to the folder executors share and read it back, which cuts lineage for iterative operators.
-
-    The folder is that of spark.checkpoint.dir; only where it is unset (tests) a local one is taken.
-    """
-    spark = df.sparkSession
+def stored(spark: SparkSession, name: str) -> str:
+    """A new path in the folder executors share: that of spark.checkpoint.dir; only where it is unset (tests) a local one is taken."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         where = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
         spark.conf.set("spark.checkpoint.dir", where)
-    path = f"{where.rstrip('/')}/skein-{uuid.uuid4().hex}/{name}"
+    return f"{where.rstrip('/')}/skein-{uuid.uuid4().hex}/{name}"
+
+
+def materialize(df: DataFrame, name: str = "step") -> DataFrame:
+    """Write df to the shared folder and read it back, which cuts lineage for iterative operators."""
+    path = stored(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,11 +1,13 @@
 import numpy as np
 
 from skein.functions import urls as U
+from skein.operators import crawl as C
 from skein.operators import duplicates as D
 from skein.operators import frontier as FR
 from skein.operators import graph as G
 from skein.operators import robots as RB
 from skein.operators import web as W
+from skein.sources import corpus as S
 from skein.streaming.frontier import scheduled, unseen
 
 
@@ -137,5 +139,45 @@ def test_registered_pagerank_settles(spark, tmp_path):
         if np.allclose(state, old):
             break
     assert rounds > 5
-    got = {r.node: r["rank"] for r in QUERIES["pagerank_settled"](spark, str(tmp_path)).collect()}
+    got = {r.node: r["rank"] for r in QUERIES["pagerank"](spark, str(tmp_path)).collect()}
     assert np.allclose([got[n] for n in nodes], state, rtol=0, atol=1e-9)
+
+
+def test_forms_of_links_and_entities(spark):
+    html = "<a href='/q'>a</a><A HREF = /n>b<a href=\"/d\">c &lt;&#233;&#x20AC;&unknown;&amp;lt;</a><a data-href='/no' name=x>d</a><area href='/no'>"
+    pages = spark.createDataFrame([(1, "http://h/", html)], "page_id long, url string, html string")
+    assert {(r.dst, r.anchor) for r in W.hyperlinks(pages).collect()} == {("http://h/q", "a"), ("http://h/n", "b"), ("http://h/d", "c <é€&unknown;&lt;")}
+    from skein.functions.html import html_text
+
+    assert one(spark, "<p>1 &#60; 2 &#xD800;&#99999999;</p>", html_text(U.F.col("v"))) == "1 < 2 \ufffd&#99999999;"
+
+
+def test_crawl_goes_through_hosts_in_turn_and_minds_robots(spark):
+    site = {"http://a/": '<a href="/x">1</a><a href="/no/y">2</a><a href="http://b/">3</a>', "http://a/x": '<a href="/">home</a><a href="/gone">4</a>', "http://a/no/y": "secret", "http://b/": "b"}
+    snapshot = spark.createDataFrame([(u.rstrip("/"), h) for u, h in site.items()], "url string, html string")
+    robots = spark.createDataFrame([("a", "User-agent: *\nDisallow: /no")], "host string, robots string")
+    done = C.run(spark.createDataFrame([("http://a",)], "url string"), snapshot, robots)
+    got = {r.url: (r.html is not None, r["round"]) for r in done.fetched.collect()}
+    assert {u: f for u, (f, _) in got.items()} == {"http://a": True, "http://b": True, "http://a/x": True, "http://a/no/y": False, "http://a/gone": False}
+    rounds = [r for u, (_, r) in got.items() if u.startswith("http://a")]
+    assert len(set(rounds)) == len(rounds)
+    assert C.run(spark.createDataFrame([("http://a",)], "url string"), snapshot, robots, most=0).round == 1
+
+
+def test_front_queues_give_their_first(spark):
+    urls = spark.createDataFrame([(f"http://h{i % 2}/{i}", i) for i in range(9)], "url string, seq long")
+    got = C.front_dequeue(FR.frontier_route(urls, back_queues=1, front_queues=2), 1).collect()
+    routed = FR.frontier_route(urls, back_queues=1, front_queues=2).where("queue = 'front'").collect()
+    assert {(r.number, r.seq) for r in got} == {(n, min(r.seq for r in routed if r.number == n)) for n in {r.number for r in routed}}
+    assert {r.url for r in FR.new_urls(urls, urls.where("seq > 0")).collect()} == {"http://h0/0"}
+
+
+def test_sources_and_sinks(spark, tmp_path):
+    log = spark.createDataFrame([(200, "text/html", 1), (404, "text/html", 2), (200, "image/png", 3)], "status int, content_type string, id int")
+    assert [r.id for r in W.fetched(log).collect()] == [1]
+    contents = spark.createDataFrame([("http://a", "one"), ("http://b", "two")], "url string, content string")
+    links = spark.createDataFrame([("http://a", "http://b")], "src string, dst string")
+    S.write_corpus(contents, links, str(tmp_path / "corpus"))
+    assert {(r.url, r.content) for r in S.read_corpus(spark, str(tmp_path / "corpus" / "contents")).collect()} == {("http://a", "one"), ("http://b", "two")}
+    assert S.enough(contents, 1) and not S.enough(contents, 2)
+    assert [(r.src, r.dst) for r in S.read_references(spark, str(tmp_path / "corpus")).collect()] == [("http://a", "http://b")]

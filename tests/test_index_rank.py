@@ -1,16 +1,36 @@
 import math
+from collections import Counter
+from random import Random
+
+import pytest
 
 from skein.functions.stem import stem_word, with_stem
 from skein.operators import index as I
 from skein.operators import rank as R
+from skein.plans.search import is_boolean, search
+
+#: Words that are their own stems, drawn with falling frequency; document 7 is empty and 8 is null.
+VOCABULARY = [f"z{i}q" for i in range(30)]
+
+
+def corpus(seed: int = 3) -> dict[int, list[str]]:
+    r = Random(seed)
+    return {d: [VOCABULARY[min(int(r.expovariate(0.2)), 29)] for _ in range(r.randrange(1, 40))] for d in range(7)} | {7: [], 8: []}
+
 
-DOCS = [(0, "Her garden grows carrots and tall beans. That was a test, test."), (1, "Here is a unit test of some small index"), (2, "")]
+@pytest.fixture(scope="module")
+def made(spark, tmp_path_factory):
+    texts = corpus()
+    docs = spark.createDataFrame([(d, " ".join(w) if d < 8 else None) for d, w in texts.items()], "doc_id long, text string")
+    return texts, docs, I.Index.build(docs, str(tmp_path_factory.mktemp("index") / "own"))
 
 
-def index(spark, rows=DOCS):
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    post = I.postings(docs)
-    return docs, post, I.tf_idf(post, I.corpus_size(docs))
+def by_hand(texts):
+    tf = {(t, d): n for d, w in texts.items() for t, n in Counter(w).items()}
+    df = Counter(t for t, _ in tf)
+    weight = {(t, d): n + math.log10(len(texts) / df[t]) for (t, d), n in tf.items()}
+    length = {d: math.sqrt(sum(weight[t, d] ** 2 for t in w)) for d, w in texts.items()}
+    return tf, df, weight, length
 
 
 def test_stems_of_the_published_examples(spark):
@@ -20,42 +40,53 @@ def test_stems_of_the_published_examples(spark):
     assert {r.word: r.term for r in got} == want
 
 
-def test_postings_weights_and_lengths(spark):
-    docs, post, w = index(spark)
-    tf = {(r.term, r.doc_id): r.tf for r in post.collect()}
-    assert tf["test", 0] == 2 and tf["test", 1] == 1 and ("is", 0) not in tf
-    weights = {(r.term, r.doc_id): r.weight for r in w.collect()}
-    assert math.isclose(weights["test", 0], 2 + math.log10(3 / 2))
-    assert math.isclose(weights["unit", 1], 1 + math.log10(3))
-    lengths = {r.doc_id: r.length for r in I.doc_length(w, docs).collect()}
-    assert lengths[2] == 0
-    assert math.isclose(lengths[0], math.sqrt(sum(tf[t, d] * weights[t, d] ** 2 for t, d in tf if d == 0)))
+def test_stored_index_equals_the_formulas(made):
+    texts, _, index = made
+    tf, df, weight, length = by_hand(texts)
+    assert {(r.term, r.doc_id): r.tf for r in index.postings.collect()} == tf
+    terms = index.postings.select("term").distinct()
+    got = {(r.term, r.doc_id): (r.df, r.weight) for r in index.weights(terms).collect()}
+    assert set(got) == set(weight) and all(got[k][0] == df[k[0]] and math.isclose(got[k][1], weight[k]) for k in got)
+    assert {r.doc_id: round(r.length, 9) for r in index.lengths.collect()} == {d: round(x, 9) for d, x in length.items()}
 
 
 def test_champions_break_ties_by_id(spark):
-    _, _, w = index(spark, [(3, "apple"), (1, "apple"), (2, "apple apple"), (4, "apple")])
-    assert [(r.doc_id, r.rank) for r in I.champions(w, 2).orderBy("rank").collect()] == [(2, 1), (1, 2)]
-
-
-def test_cosine_rank_follows_its_formula(spark):
-    docs, post, w = index(spark, [(0, "A kettle stands here, kettle."), (1, "Kettle by kettle: one more kettle! All others stand behind it on the shelf."), (2, "Only one kettle stands there.")])
-    terms, lengths = I.query_terms(spark, "Kettle"), I.doc_length(w, docs)
-    by_doc = {r.doc_id: r.weight for r in w.where("term = 'kettl'").collect()}
-    own = {r.doc_id: r.length for r in lengths.collect()}
-    got = R.top(R.rank_cosine(w, lengths, I.champions(w, 50), terms), 10).collect()
-    want = sorted(((by_doc[d] / own[d], -d) for d in by_doc), reverse=True)
-    assert [r.doc_id for r in got] == [-d for _, d in want]
-    assert all(math.isclose(r.score, s) for r, (s, _) in zip(got, want))
+    docs = spark.createDataFrame([(d, "pear " * n) for d, n in ((9, 1), (4, 3), (6, 1), (2, 1))], "doc_id long, text string")
+    w = I.tf_idf(I.postings(docs), I.corpus_size(docs))
+    assert [(r.doc_id, r.rank) for r in I.champions(w, 3).orderBy("rank").collect()] == [(4, 1), (2, 2), (6, 3)]
+
+
+def test_search_ranks_as_the_formula_does(made, spark):
+    texts, _, index = made
+    _, _, weight, length = by_hand(texts)
+    asked = VOCABULARY[1:4]
+    scores = {d: sum(weight.get((t, d), 0) for t in asked) / length[d] for d in texts if any((t, d) in weight for t in asked)}
+    urls = spark.createDataFrame([(d, f"http://h/{d}") for d in texts], "doc_id long, url string")
+    got = search(index, " ".join(asked), urls).collect()
+    assert {r.doc_id: round(r.score, 9) for r in got} == {d: round(s, 9) for d, s in scores.items()}
+    assert all(r.url == f"http://h/{r.doc_id}" for r in got)
+    best = search(index, " ".join(asked), n=2).collect()
+    assert [r.doc_id for r in best] == sorted(scores, key=lambda d: (-scores[d], d))[:2]
+
+
+def test_search_takes_boolean_queries(made):
+    texts, _, index = made
+    a, b = VOCABULARY[0], VOCABULARY[2]
+    assert is_boolean(f"{a} AND {b}") and not is_boolean(f"{a} {b}")
+    assert {r.doc_id for r in search(index, f"{a} AND NOT {b}").collect()} == {d for d, w in texts.items() if a in w and b not in w}
+
+
+def test_simple_rank_covers_every_document(made):
+    texts, docs, index = made
+    tf, df, _, _ = by_hand(texts)
+    t = VOCABULARY[1]
+    terms = I.query_terms(docs.sparkSession, t)
+    got = {r.doc_id: r.score for r in R.rank_simple(I.log_tf(index.postings), I.idf(index.postings, index.size), docs, terms).collect()}
+    idf = math.log10(len(texts) / df[t])
+    assert set(got) == set(texts)
+    assert all(math.isclose(s, (1 + math.log10(tf[t, d]) if (t, d) in tf else 0) - idf) for d, s in got.items())
 
 
 def test_url_vocabulary_is_dense_and_ordered(spark):
     urls = spark.createDataFrame([(u,) for u in ("b", "a", "c", "a", None)], "url string")
     assert [(r.doc_id, r.url) for r in I.url_vocabulary(urls).orderBy("doc_id").collect()] == [(0, "a"), (1, "b"), (2, "c")]
-
-
-def test_simple_rank_covers_every_document(spark):
-    docs, post, w = index(spark)
-    idf = I.idf(post, I.corpus_size(docs))
-    got = {r.doc_id: r.score for r in R.rank_simple(I.log_tf(post), idf, docs, I.query_terms(spark, "test")).collect()}
-    i = math.log10(3 / 2)
-    assert set(got) == {0, 1, 2} and math.isclose(got[2], -i) and math.isclose(got[0], 1 + math.log10(2) - i)
