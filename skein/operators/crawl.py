@@ -46,8 +46,9 @@ def step(crawl: Crawl, snapshot: DataFrame, robots: DataFrame, agent: str = "*",
     waiting = materialize(waiting.withColumn("due", F.col("_n") <= per_host).drop("_n"), "waiting")
     due = waiting.where("due").select("url", "host", path(F.col("url")).alias("path"), F.lit(agent).alias("agent"))
     allowed = robots_access(due.select("host", "path", "agent").distinct(), robots)
-    pages = due.join(allowed, ["host", "path", "agent"]).join(snapshot.select("url", "html"), "url", "left")
-    pages = materialize(pages.select("url", F.when(F.col("allowed"), F.col("html")).alias("html"), F.lit(crawl.round + 1).alias("round")), "pages")
+    # A URL whose host or path can't be read has no rules.
+    pages = due.join(allowed, ["host", "path", "agent"], "left").join(snapshot.select("url", "html"), "url", "left")
+    pages = materialize(pages.select("url", F.when(F.coalesce("allowed", F.lit(True)), F.col("html")).alias("html"), F.lit(crawl.round + 1).alias("round")), "pages")
     fetched = materialize(crawl.fetched.unionByName(pages), "fetched")
     links = W.hyperlinks(pages.where("html is not null").select(F.lit(0).alias("page_id"), "url", "html")).select(F.col("dst").alias("url")).distinct()
     left = waiting.where("not due").select("url", "seq")

@@ -169,7 +169,7 @@ ORACLES: dict[str, str] = {
     "anchor_text": f"WITH {_LINKS}, k AS (SELECT 'http://' || {_host('url')} AS url, min(page_id) AS first FROM pages GROUP BY 1) SELECT k.url, string_agg(trim(anchor), ' ' ORDER BY page_id DESC, trim(anchor)) AS anchors FROM lnk JOIN k ON k.url = 'http://' || {_host('dst')} WHERE page_id > first AND trim(anchor) <> '' GROUP BY k.url",
     "page_content": f"WITH t AS (SELECT {_host('url')} AS url, page_id, {_html('html')} AS text FROM pages), c AS (SELECT url, string_agg(text, ' ' ORDER BY page_id DESC) AS content FROM t WHERE text <> '' GROUP BY url) SELECT url, md5(content) AS digest, length(content)::INT AS n FROM c",
     "crawl_batch": f"WITH {_LINKS}, g AS (SELECT DISTINCT url AS src, dst FROM lnk WHERE url <> dst) SELECT (SELECT count(DISTINCT url) FROM pages WHERE {_html('html')} <> '') AS contents, (SELECT count(*) FROM g) AS links, (SELECT count(DISTINCT src) FROM g) AS sources",
-    "crawl_walk": f"WITH {_WEB}, p AS (SELECT DISTINCT {_norm('url')} AS url FROM pages) SELECT url, true AS found FROM p UNION ALL SELECT node AS url, false AS found FROM nodes WHERE node NOT IN (SELECT url FROM p)",
+    "crawl_walk": f"WITH pages AS (SELECT * FROM pages QUALIFY row_number() OVER (PARTITION BY {_norm('url')} ORDER BY page_id DESC) = 1), {_WEB}, p AS (SELECT DISTINCT {_norm('url')} AS url FROM pages) SELECT url, true AS found FROM p UNION ALL SELECT node AS url, false AS found FROM nodes WHERE node NOT IN (SELECT url FROM p)",
     "robots_agents": f"WITH {_ROBOTS} SELECT host, agent FROM named",
     "robots_rules": f"WITH {_ROBOTS} SELECT host, agent, prefix FROM rules",
     "robots_access": f"WITH {_ROBOTS}, {_REQ}, a AS (SELECT req.*, CASE WHEN named.agent IS NULL THEN '*' ELSE req.agent END AS ua, CASE WHEN path = '' THEN '/' ELSE path END AS page FROM req LEFT JOIN named USING (host, agent)) SELECT host, path, agent, NOT EXISTS (SELECT 1 FROM rules r WHERE r.host = a.host AND r.agent = a.ua AND r.prefix <> '' AND starts_with(page, r.prefix)) AS allowed FROM a",

@@ -304,8 +304,8 @@ def q_crawl_batch(s, d):
 
 
 def q_crawl_walk(s, d):
-    """From the pages themselves until nothing waits: all that was asked for, and whether it was found."""
-    pages = table(s, d, "pages").select(U.normalize(F.col("url")).alias("url"), "html").groupBy("url").agg(F.max("html").alias("html"))
+    """From the pages themselves, the last capture of each, until nothing waits: all that was asked for, and whether it was found."""
+    pages = table(s, d, "pages").select(U.normalize(F.col("url")).alias("url"), "html", "page_id").groupBy("url").agg(F.max_by("html", "page_id").alias("html"))
     done = C.run(pages, pages, _robots(s), per_host=1_000_000, most=1 << 62)
     return done.fetched.select("url", F.col("html").isNotNull().alias("found"))
 
