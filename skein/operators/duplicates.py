@@ -2,7 +2,7 @@
 
 Sketches are made in Arrow batches with numpy: 84 minima over every shingle are a matter of vector arithmetic there,
 and of as many interpreted lambdas in SQL. Everything after is relational: identical sketches are one class, so that
-many copies of a text never meet in a join; classes meet on equal supershingles.
+many copies of a text never meet in a join; classes meet on equal supershingles, and for leaders only with those.
 """
 
 from __future__ import annotations
@@ -132,11 +132,51 @@ def leaders(reps: DataFrame, pairs: DataFrame, most_rounds: int = 100) -> DataFr
     return state.join(first, "rep", "left").select("rep", F.when(~F.col("leads"), F.col("leader")).alias("leader"))
 
 
+def overlap_keys(reps: DataFrame, min_overlap: int = 2) -> DataFrame:
+    """(key, rep): a row for each choice of min_overlap supershingles of a class that another class has too, so that those that share a key are the candidates."""
+    filed = supershingles(reps).select("rep", F.explode("supers").alias("s"))
+    filed = filed.join(filed.groupBy("s").agg(F.count("*").alias("n")).where("n > 1").select("s"), "s")
+    # A class has no more supershingles than blocks.
+    keys = filed.groupBy("rep").agg(F.array_sort(F.collect_list("s")).alias("own"))
+    choices = F.transform(F.sequence(F.lit(0), F.size("own") - 1), lambda i: F.struct(i.alias("last"), F.get("own", i).alias("key")))
+    for _ in range(min_overlap - 1):
+        choices = F.flatten(F.transform(choices, lambda c: F.transform(F.filter(F.sequence(F.lit(0), F.size("own") - 1), lambda i: i > c["last"]), lambda i: F.struct(i.alias("last"), F.concat(c["key"], F.get("own", i)).alias("key")))))
+    found = keys.where(F.size("own") >= min_overlap).select("rep", F.explode(choices).alias("c")).select("c.key", "rep")
+    return found.join(found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "key")
+
+
+def first_leaders(reps: DataFrame, min_overlap: int = 2, min_similarity: float = 0.5, most_rounds: int = 1000) -> DataFrame:
+    """(rep, leader) as leaders() gives them for dup_pairs(), without making all pairs.
+
+    A class whose keys have no undecided class before it leads. So a key has one new leader a round at most, and only
+    leaders are compared with the classes after them that share a key: a round's pairs are as many as there are keys. Rounds
+    are as many as there are leaders in a row that share a key and aren't similar, plus a few.
+    """
+    sketch = materialize(reps.select("rep", "sketch"), "sketch")
+    filed = materialize(overlap_keys(sketch, min_overlap), "keys")
+    state = materialize(sketch.select("rep", F.lit(None).cast("boolean").alias("leads"), F.lit(None).cast(reps.schema["rep"].dataType).alias("leader")), "leads")
+    for _ in range(most_rounds):
+        undecided = state.where("leads is null").select("rep")
+        waiting = filed.join(undecided, "rep")
+        blocked = waiting.join(waiting.groupBy("key").agg(F.min("rep").alias("first")), "key").where("first < rep").select("rep").distinct()
+        fresh = materialize(undecided.join(blocked, "rep", "left_anti"), "fresh")
+        if not fresh.limit(1).count():
+            return state.select("rep", "leader")
+        led = filed.join(fresh, "rep").select("key", F.col("rep").alias("lead"))
+        met = filed.join(led, "key").where("rep > lead").join(state.where("not coalesce(leads, false)").select("rep"), "rep").select("lead", "rep").distinct()
+        met = met.join(sketch, "rep").join(sketch.select(F.col("rep").alias("lead"), F.col("sketch").alias("its")), "lead")
+        found = met.where(jaccard(F.col("sketch"), F.col("its")) >= min_similarity).groupBy("rep").agg(F.min("lead").alias("lead"))
+        now = state.join(found, "rep", "left").join(fresh.withColumn("new", F.lit(True)), "rep", "left")
+        leads = F.when(F.col("new"), F.lit(True)).when(F.col("lead").isNotNull(), F.lit(False)).otherwise(F.col("leads"))
+        state = materialize(now.select("rep", leads.alias("leads"), F.least("leader", "lead").alias("leader")), "leads")
+    raise RuntimeError(f"documents undecided after {most_rounds} rounds")
+
+
 def duplicates(docs: DataFrame, min_overlap: int = 2, min_similarity: float = 0.5) -> DataFrame:
     """(doc_id, leader) for every document with a shingle: null for a leader; a copy's leader is its class's, or the class's first."""
     sketched = materialize(sketches(docs), "sketches")
     reps = classes(sketched)
-    found = leaders(reps.select("rep"), dup_pairs(reps, min_overlap, min_similarity))
+    found = first_leaders(reps, min_overlap, min_similarity)
     members = sketched.join(reps, "sketch").select("doc_id", "rep")
     return members.join(found, "rep").select("doc_id", F.when(F.col("doc_id") == F.col("rep"), F.col("leader")).otherwise(F.coalesce("leader", "rep")).alias("leader"))
 

@@ -252,8 +252,7 @@ def q_dup_pairs(s, d):
 
 
 def q_dup_leaders(s, d):
-    reps = _classes(s, d)
-    return D.leaders(reps.select("rep"), D.dup_pairs(reps))
+    return D.first_leaders(_classes(s, d))
 
 
 def q_duplicates(s, d):

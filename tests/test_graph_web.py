@@ -52,6 +52,21 @@ def test_leaders_follow_the_sequential_scan(spark):
     assert {r.rep: r.leader for r in got.collect()} == want
 
 
+def test_first_leaders_are_those_of_all_pairs(spark):
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 1000, (5, 84))
+    rows = []
+    for i in range(60):
+        k = base[i % 5].copy()
+        for block in rng.integers(0, 14, int(rng.integers(0, 12))):
+            k[6 * block : 6 * block + 6] = rng.integers(0, 1000, 6)
+        rows.append((i, k.tolist()))
+    reps = spark.createDataFrame(rows, "rep long, sketch array<long>")
+    want = D.leaders(reps.select("rep"), D.dup_pairs(reps))
+    got = {r.rep: r.leader for r in D.first_leaders(reps).collect()}
+    assert got == {r.rep: r.leader for r in want.collect()} and 10 < sum(x is None for x in got.values()) < 50
+
+
 def test_shingles_of_short_texts(spark):
     docs = spark.createDataFrame([(0, None), (1, "a b c"), (2, "a b c d"), (3, "a b  c d\ne")], "doc_id long, text string")
     assert {r.doc_id for r in D.short_docs(docs).collect()} == {0, 1}
