@@ -45,7 +45,9 @@ class Pieces(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        with open(path, encoding="utf-8") as f:
+            #: Texts that have one of these go to the tokenizer, which gives it the id of its own.
+            self.added = [t["content"] for t in json.load(f).get("added_tokens", ())]
         self.most = most
         self.merge = self._by_rank(path)
 
@@ -77,7 +79,7 @@ class Pieces(dict):
         return found
 
     def encode(self, text: str) -> bytes:
-        if not _PLAIN.fullmatch(text):
+        if not _PLAIN.fullmatch(text) or any(t in text for t in self.added):
             return self.ids(text)
         return b"".join([self[p] for p in _PIECE.findall(text)])
 
