@@ -18,11 +18,11 @@ from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
-from .common import id_crc
+from .common import id_crc, stage_table
 
 _OTHER = re.compile(r"[\W\d_]+")
 #: Letters beyond this code point share vectors by remainder, so that an n-gram's code fits 64 bits.
@@ -109,7 +109,7 @@ def unit(v: np.ndarray) -> np.ndarray:
 
 
 def fit(sample: list[tuple[str, str]], space: Space) -> tuple[list[str], np.ndarray]:
-    """Languages in order and their prototypes: each document counts alike, and what all languages share is taken out."""
+    """Languages in order and their prototypes: each document counts alike."""
     table, sums = Table(space), {}
     for text, lang in sample:
         codes, counts = space.grams(text)
@@ -129,13 +129,25 @@ def noise(space: Space, languages: int, chance: float) -> float:
     return NormalDist().inv_cdf(1 - chance / max(1, languages)) / space.dims**0.5
 
 
-def training_rows(docs: DataFrame, rows: int = 2000, modulus: int = 4, held: int = 2) -> list[tuple[str, str]]:
-    """At most `rows` (text, lang), the first by a hash of the id; only non-null lang, and no row with crc32(doc_id) % modulus = held."""
+def training_rows(docs: DataFrame, per_language: int = 500, modulus: int = 4, held: int = 2, most: int = 1_000_000) -> list[tuple[str, str]]:
+    """At most `per_language` (text, lang) of each lang, the first by a hash of the id; only non-null lang, and no row with crc32(doc_id) % modulus = held.
+
+    Of rows with one id and lang, the one of the least text hash counts, so as many texts reach the driver as were picked.
+    What was picked is broadcast, some dozens of bytes a row; more than `most` rows, which two thousand languages would
+    have, are an error.
+    """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).where(id_crc(F.col("doc_id")) % modulus != held)
-    picked = known.select(F.xxhash64("doc_id").alias("h"), "doc_id", "lang").orderBy("h", "doc_id").limit(rows)
-    # At most `rows` small rows, so the size is bounded by the parameter.
-    texts = known.select("doc_id", "lang", "text").join(F.broadcast(picked.drop("h").distinct()), ["doc_id", "lang"]).collect()
-    return [(r["text"], r["lang"]) for r in sorted(texts, key=lambda r: (str(r["doc_id"]), r["text"]))]
+    known = known.select("lang", "doc_id", F.xxhash64("doc_id").alias("h"), F.xxhash64("text").alias("t"))
+    # Spark keeps the first rows of each language in every task before it shuffles.
+    order = Window.partitionBy("lang").orderBy("h", "doc_id", "t")
+    picked = known.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language)
+    picked = picked.groupBy("lang", "doc_id").agg(F.min("t").alias("t"))
+    picked = stage_table(picked, "picked", per_language)
+    if picked.count() > most:
+        raise ValueError(f"more than {most} training rows: take fewer of each language")
+    texts = docs.select(F.col("lang").alias("its_lang"), F.col("doc_id").alias("its_id"), "text").join(F.broadcast(picked), (F.col("its_lang") == F.col("lang")) & F.col("its_id").eqNullSafe(F.col("doc_id")) & (F.xxhash64("text") == F.col("t")))
+    rows = texts.groupBy("lang", "doc_id").agg(F.first("text").alias("text")).collect()
+    return [(r["text"], r["lang"]) for r in sorted(rows, key=lambda r: (str(r["doc_id"]), r["lang"], r["text"]))]
 
 
 def identify(docs: DataFrame, names: list[str], prototypes: np.ndarray, space: Space, no_letters: str = "und", grams: str | None = None) -> DataFrame:

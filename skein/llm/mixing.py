@@ -65,11 +65,12 @@ def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: tuple = (3
     return t.select("s_null", "s", "source_size", "weight", F.when(F.col("_capped"), cap).otherwise(F.least(fair, cap)).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: tuple = (3, 2), most: int = 2, seed: str = "mix", key_bits: int = 12, time_ranges: int = 65536) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken) for every row of docs(doc_id, text, source).
+def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: tuple = (3, 2), most: int = 2, seed: str = "mix", key_bits: int = 12, time_ranges: int = 65536, text_key: bool = False) -> DataFrame:
+    """(doc_id, source, size, source_size, target, taken) for every row of docs(doc_id, text, source), and text_key, the text's MD5, if asked for.
 
     taken is size times the number of copies in the mix (0, 1 or 2). A null text has size 0; a null source is a
-    source of its own, the last; a null doc_id is hashed as empty; rows of equal id and size are interchangeable.
+    source of its own, the last; a null doc_id is hashed as empty; rows of equal id and size are interchangeable, unless
+    text_key is asked for, which orders them too.
     Empty input gives an empty result. Other columns are ignored.
     """
     key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":" + seed)).cast("binary"))
@@ -79,9 +80,11 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: tuple = (3, 2), most:
         F.coalesce("source", F.lit("")).alias("s"),
         word_count(F.col("text")).alias("size"),
         F.conv(F.substring(key, 1, 15), 16, 10).cast("long").alias("k"),
+        *([F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_key")] if text_key else []),
     ).withColumn("kb", F.shiftright("k", 60 - key_bits))
     # A few dozen bytes for each document; texts are scanned once.
     rows = stage_table(rows, "sizes")
+    last_keys = ["k", "doc_id", "size", *(["text_key"] if text_key else [])]
 
     ranges = rows.groupBy("s_null", "s", "kb").agg(F.sum("size").alias("size"))
     earlier = Window.partitionBy("s_null", "s").orderBy("kb").rowsBetween(Window.unboundedPreceding, -1)
@@ -90,13 +93,13 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: tuple = (3, 2), most:
         .join(source_targets(ranges, weights, share, most), ["s_null", "s"])
         .select("s_null", "s", "kb", "base", "source_size", "target")
     )
-    within = Window.partitionBy("s_null", "s", "kb").orderBy("k", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy("s_null", "s", "kb").orderBy(*last_keys).rowsBetween(Window.unboundedPreceding, 0)
     timed = rows.join(ranges, ["s_null", "s", "kb"]).withColumn("cum", F.col("base") + F.sum("size").over(within))
     finish = lambda copy: F.when(F.col("target") > 0, (F.col("cum") + F.col("source_size") * copy).cast("double") / F.col("target"))
     timed = timed.withColumn("v0", finish(0)).withColumn("v1", finish(1))
     timed = stage_table(timed.drop("kb", "base", "cum"), "timed")
 
-    item = lambda copy: F.struct(F.col(f"v{copy}").alias("v"), "s_null", "s", F.lit(copy).alias("copy"), "k", "doc_id", "size")
+    item = lambda copy: F.struct(F.col(f"v{copy}").alias("v"), "s_null", "s", F.lit(copy).alias("copy"), *last_keys)
     items = timed.where(F.col("size") > 0).select(F.explode(F.array(*[item(i) for i in range(2)])).alias("x")).where("x.v is not null")
     items = items.withColumn("vb", F.least(F.floor(F.col("x.v") * (time_ranges / 2)), F.lit(time_ranges)).cast("long"))
     totals = items.groupBy("vb").agg(F.sum("x.size").alias("size"))
@@ -120,4 +123,4 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: tuple = (3, 2), most:
     copies = sum((F.coalesce(c, F.lit(False)).cast("long") for c in cut), F.lit(0))
     copies = F.when((F.col("size") > 0) & F.col("v0").isNotNull(), copies).otherwise(F.lit(0))
     source = F.when(F.col("s_null"), F.lit(None)).otherwise(F.col("s")).alias("source")
-    return timed.select("doc_id", source, "size", "source_size", "target", (F.col("size") * copies).alias("taken"))
+    return timed.select("doc_id", source, "size", "source_size", "target", (F.col("size") * copies).alias("taken"), *last_keys[3:])
