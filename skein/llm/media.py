@@ -115,11 +115,13 @@ def _jpeg(b: memoryview, at: int) -> int:
 
 
 def _pdf(b: memoryview, at: int) -> int:
-    raw = bytes(b[at:])
-    if not raw[5:8].replace(b".", b"").isdigit():
+    raw = b.obj if isinstance(b.obj, bytes) and len(b.obj) == len(b) else bytes(b)
+    if not raw[at + 5 : at + 8].replace(b".", b"").isdigit():
         return 0
-    end = raw.find(b"%%EOF")
-    return end + 5 if end > 0 and b"startxref" in raw[:end] else 0
+    # A file that was updated has several ends; the last one before another file's head is its own.
+    following = raw.find(b"%PDF-", at + 5)
+    end = raw.rfind(b"%%EOF", at, len(raw) if following < 0 else following)
+    return end + 5 - at if end > 0 and raw.find(b"startxref", at, end) >= 0 else 0
 
 
 def _gzip(b: memoryview, at: int) -> int:
