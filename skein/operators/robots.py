@@ -45,3 +45,15 @@ def robots_access(requests: DataFrame, robots: DataFrame) -> DataFrame:
     judged = named.withColumn("_page", page).join(per, ["host", "_as"], "left")
     hit = F.coalesce(F.exists("_rules", lambda p: F.col("_page").startswith(p)), F.lit(False))
     return judged.select("host", "path", "agent", (~hit).alias("allowed"))
+
+
+def robots_cache(known: DataFrame, fetched: DataFrame) -> DataFrame:
+    """(host, robots, at): each host's text as last fetched, kept from batch to batch; null stays for a host without one, which so isn't asked again."""
+    both = known.select("host", "robots", "at").unionByName(fetched.select("host", "robots", "at"))
+    latest = both.groupBy("host").agg(F.max(F.struct("at", "robots")).alias("last"))
+    return latest.select("host", "last.robots", "last.at")
+
+
+def robots_missing(hosts: DataFrame, known: DataFrame) -> DataFrame:
+    """(host): the hosts whose text has to be fetched before their URLs are."""
+    return hosts.select("host").distinct().join(known.select("host"), "host", "left_anti")

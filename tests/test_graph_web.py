@@ -99,6 +99,14 @@ def test_robots(spark):
     assert not got["h", "", "three"] and not got["h", "/x", "three"] and got["g", "/a", "one"]
 
 
+def test_robots_are_kept_between_batches(spark):
+    kind = "host string, robots string, at long"
+    known = RB.robots_cache(spark.createDataFrame([], kind), spark.createDataFrame([("a", "old", 1), ("b", None, 1)], kind))
+    assert {r.host for r in RB.robots_missing(spark.createDataFrame([("a",), ("b",), ("c",), ("c",)], "host string"), known).collect()} == {"c"}
+    again = RB.robots_cache(known, spark.createDataFrame([("a", "new", 2)], kind))
+    assert {(r.host, r.robots, r["at"]) for r in again.collect()} == {("a", "new", 2), ("b", None, 1)}
+
+
 def test_links_and_contents(spark):
     html = '<script>"</p>"</script><a href="/b">one</a> <a class="x" href="/b">two &amp; <b>more</b></a><a href="mailto:q">m</a><a href="/p/">self</a>'
     pages = spark.createDataFrame([(1, "http://h/p", html), (2, "http://h/b", "<p> text </p>"), (3, "http://h/z", '<a href="b">late</a>')], "page_id long, url string, html string")
