@@ -1,15 +1,15 @@
 """SimHash near-duplicates with a Gray-order hierarchical index.
 
-Fingerprints that differ in at most r bits agree on some choice of 3 of r + 3 blocks of bits (r changed bits spoil
-at most r blocks). Each distinct fingerprint is filed under every such choice, and a bucket holds those that agree
-on it: the shared bits are the bucket's masked pattern, its upper node. Within a bucket fingerprints are sorted by
-Gray rank, so that neighbours differ in few bits, and sixteen at a time are factored into a node that holds the mask
-and pattern of the bits all of them share; nodes are factored the same way. A search adds up differences on its way
-down, on each node's bits that no node above has compared, and drops a whole group once the sum is above r.
-
-A bucket hands on no pairs but a spanning forest of the links found, so its output is no longer than its input.
-Buckets above `most` fingerprints are not searched in one task: their fingerprints are filed under their points at a
-distance of up to half of r instead, which links the same ones exactly.
+Fingerprints that differ in at most r bits agree on some choice of 6 of r + 6 blocks of bits (r changed bits spoil at
+most r blocks). Each distinct fingerprint is filed under every such choice, and a bucket holds those that agree on
+it: the shared bits are the bucket's masked pattern, its upper node. Within a bucket fingerprints are sorted by Gray
+rank, so that neighbours differ in few bits, and sixteen at a time are factored into a node that holds the mask and
+pattern of the bits all of them share; nodes are factored the same way. A search adds up differences on its way down,
+on each node's bits that no node above has compared, and drops a whole group once the sum is above r.
+
+A bucket hands on no pairs but a spanning forest of the links found, so its output is no longer than its input. With
+r = 2 its fingerprints differ in two blocks of eight bits alone, so no bucket, however the input is made, has more
+than 65,536 of them.
 """
 
 from __future__ import annotations
@@ -50,16 +50,18 @@ def fingerprint(text: str, n: int = 3, seed: int = 42) -> int:
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
 
 
+FP = "__simhash_fp"
+
+
 def fingerprints(docs: DataFrame, n: int = 3, seed: int = 42) -> DataFrame:
-    """docs plus fp, the fingerprint as a signed long; a null text is the empty one."""
-    docs = docs.drop("fp")
+    """docs plus the fingerprint as a signed long, in a column of the reserved name FP; a null text is the empty one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             f = np.fromiter((fingerprint(t.as_py() or "", n, seed) for t in b.column(b.schema.get_field_index("text"))), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(f.view(np.int64))], [*b.schema.names, "fp"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(f.view(np.int64))], [*b.schema.names, FP])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("fp", LongType())]))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(FP, LongType())]))
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -154,15 +156,18 @@ def forest(fps: np.ndarray, r: int, pairs: int = 1 << 20) -> list[tuple[int, int
     return edges
 
 
+KEPT = 6
+
+
 def keys(fps: np.ndarray, r: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """The masks of all choices of 3 of r + 3 blocks, and the fingerprints' bits under each."""
-    edges = np.linspace(0, 64, r + 4).round().astype(int)
-    blocks = [np.uint64(sum(1 << i for i in range(a, b))) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-    masks = np.array([blocks[a] | blocks[b] | blocks[c] for a, b, c in combinations(range(r + 3), 3)], dtype=np.uint64)
+    """The masks of all choices of KEPT of r + KEPT blocks, and the fingerprints' bits under each."""
+    edges = np.linspace(0, 64, r + KEPT + 1).round().astype(int)
+    blocks = [sum(1 << i for i in range(a, b)) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    masks = np.array([sum(blocks[i] for i in choice) for choice in combinations(range(r + KEPT), KEPT)], dtype=np.uint64)
     return masks, [fps & m for m in masks]
 
 
-def links(distinct: DataFrame, r: int = 2, most: int = 50_000) -> DataFrame:
+def links(distinct: DataFrame, r: int = 2) -> DataFrame:
     """(a, b): edges between distinct fingerprints fp that connect what all links of at most r differing bits connect."""
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,46 +207,27 @@ def links(distinct: DataFrame, r: int = 2, most: int = 50_000) -> DataFrame:
         if (out := flush()) is not None:
             yield out
 
-    def searched(part: DataFrame) -> DataFrame:
-        return part.drop("n").sortWithinPartitions("choice", "key").mapInArrow(search, "a long, b long")
-
-    if r % 2:
-        # Meeting at rounded-up halves would also link r + 1, so an odd r has all its buckets searched.
-        return searched(buckets).distinct()
-    half = r // 2
-
-    def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flips = np.array([sum(1 << i for i in c) for k in range(half + 1) for c in combinations(range(64), k)], dtype=np.uint64)
-        for b in batches:
-            fps = b.column("fp").to_numpy(zero_copy_only=False)
-            step = max(1, 65536 // len(flips))
-            for lo in range(0, len(fps), step):
-                f = fps[lo : lo + step]
-                points = (f.view(np.uint64)[:, None] ^ flips[None, :]).reshape(-1).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(points), pa.array(np.repeat(f, len(flips)))], ["point", "fp"])
-
-    hot = buckets.where(F.col("n") > most).select("fp").distinct().mapInArrow(around, "point long, fp long")
-    # Two at a distance of at most r share a point, and those that share one are that near: stars by map-side minimum.
-    stars = hot.groupBy("point").agg(F.min("fp").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return searched(buckets.where(F.col("n") <= most)).unionByName(hot.join(stars, "point").where("fp <> b").select(F.col("fp").alias("a"), "b")).distinct()
+    return buckets.drop("n").sortWithinPartitions("choice", "key").mapInArrow(search, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, r: int = 2, n: int = 3, seed: int = 42, most: int = 50_000) -> DataFrame:
-    """docs(doc_id, ...) plus fingerprint string (16 hex digits) and component_id, for every row.
+def near_duplicates(docs: DataFrame, r: int = 2, n: int = 3, seed: int = 42) -> DataFrame:
+    """docs(doc_id, ...) without text plus fingerprint string (16 hex digits) and component_id, for every row.
 
     component_id is the least doc_id reachable by links of at most r differing bits, the row's own included; a null
     doc_id counts for none, and a component of nothing else has null. Texts without a word (null, empty, blanks) have
     fingerprint zero and are linked like others. Equal rows, ties and empty tables need no special case; columns
-    other than text are passed on, and columns of the two names are replaced.
+    other than text are passed on, whatever their names, and columns of the two names are replaced.
     """
     docs = docs.drop("fingerprint", "component_id")
-    rows = stage_table(fingerprints(docs, n, seed).drop("text"), "fingerprints")
+    passed = [c for c in docs.columns if c != "text"]
+    packed = docs.select(F.struct(*passed).alias("row"), "text")
+    rows = stage_table(fingerprints(packed, n, seed).select("row", F.col(FP).alias("fp")), "fingerprints")
     # One row for each distinct fingerprint: exact copies are summed up before anything is compared.
-    least = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    nodes = components(links(least.select("fp"), r, most))
+    least = rows.groupBy("fp").agg(F.min("row.doc_id").alias("least"))
+    nodes = components(links(least.select("fp"), r))
     ids = least.join(nodes, least.fp == nodes.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     # The least id of a component is summed by its root, then given to each fingerprint.
     of_root = ids.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = ids.select("fp", "root").join(of_root, "root").select("fp", "component_id")
     out = rows.join(by_fp, "fp")
-    return out.select(*[c for c in rows.columns if c != "fp"], F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return out.select(*[F.col("row")[c].alias(c) for c in passed], F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -119,6 +119,13 @@ def test_media_round_trip(form, data):
     assert media.READ[form](stored) == body
 
 
+def test_an_updated_pdf_ends_at_its_last_end():
+    one = b"%PDF-1.7\nstartxref\n9\n%%EOF"
+    data = b"head" + one + b"\nstartxref\n20\n%%EOF" + b"between" + one + b"tail"
+    found = [(at, n) for at, n, f in media.Sniffer().find(data) if f.name == "pdf"]
+    assert found == [(4, len(one) + len(b"\nstartxref\n20\n%%EOF")), (data.rindex(one), len(one))]
+
+
 def test_sniffing_wants_structure_and_carves():
     png, wav = media.to_png(bytes(range(192))), media.to_wav(b"12345")
     found = media.Sniffer().find(b"BM RIFF GIF89a %PDF- " + png + b"junk" + wav + b"\xff\xd8\xff")
@@ -141,10 +148,51 @@ def test_grammar_scores_clauses_and_not_words():
     assert kinds("you are not an idiot") == {"negated_insult"}
     assert kinds("the paper quoted idiot") == {"reported_insult"}
     assert kinds("idiot, you") == {"insult", "aims"}
+    # A quotation opens and closes, over clauses but not over lines; „ and « open only.
+    assert kinds('"hello" idiot') == {"insult"} and kinds('"hello idiot') == {"reported_insult"}
+    assert kinds('„so. idiot“ moron') == {"reported_insult", "insult"} and kinds('«idiot»') == {"reported_insult"}
+    assert kinds('"hello\nidiot') == {"insult"} and kinds("he said so. idiot") == {"insult"}
     assert kinds("I will kill you") == {"threat", "aims"}
     assert s.score("you are an idiot") > s.score("she said idiot") > s.score("nothing at all") - 1e-9
 
 
+def test_weights_are_added_along_the_path():
+    from math import exp, isclose
+
+    m, state, weights = toxicity.grammar(), None, []
+    state = m.start
+    for symbol in ("target", "insult", "insult", "end", "negation", "insult"):
+        state, out, w = m.step(state, symbol)
+        weights.append((out, exp(w)))
+    assert [o for o, _ in weights] == ["target", "aimed_insult", "more_insult", "end", "negation", "negated_insult"]
+    for (_, got), want in zip(weights, (1, toxicity.AIMED, toxicity.AGAIN, 1, 1, toxicity.NEGATED), strict=True):
+        assert isclose(got, want)
+
+
+def test_the_grammar_beats_isolated_words():
+    r = random.Random(11)
+    plain = lambda: " ".join("".join(r.choice("abcdefg") for _ in range(5)) for _ in range(r.randint(3, 12)))
+    toxic = ["you are an {}", "you {}", "what an {}", "those {} again"]
+    clean = ["you are not an {}", "the paper said {}", 'a title, "{} of the year", was read', "she told me {}", "never a {}"]
+    rows = [(f"{plain()}. {r.choice(toxic if y else clean).format(r.choice(toxicity.LISTED['insult']))}. {plain()}", y) for y in (0, 1) for _ in range(300)]
+    train, held = rows[::2], rows[1::2]
+
+    def right(machine):
+        scorer = toxicity.Scorer(toxicity.fit(train, 0.5, machine=machine), machine=machine)
+        return np.mean([(scorer.score(t) >= 0.5) == y for t, y in held])
+
+    assert right(None) > 0.95 and right(toxicity.words_alone()) < 0.8
+
+
+def test_context_of_hits_is_learned_and_listed_words_keep_their_class():
+    r = random.Random(12)
+    plain = lambda: " ".join("".join(r.choice("abcdefg") for _ in range(5)) for _ in range(8))
+    rows = [(f"{plain()}. {'zuvu, thou' if y else 'hark quoth'} idiot. {plain()}. {plain()}", y) for y in (0, 1) for _ in range(300)]
+    words, _ = toxicity.learn_lexicon(rows)
+    assert words["quoth"][0] == words["hark"][0] == "report" and words["not"][0] == "negation" and words["you"][0] == "target"
+    assert all(words[w][0] in ("insult", "target") for w in ("zuvu", "thou"))
+
+
 def test_toxicity_learns_beginnings_of_words():
     r = random.Random(4)
     word = lambda: "".join(r.choice("abcdefg") for _ in range(5))

@@ -3,10 +3,12 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as P
-from skein.llm import packing, simhash
+from skein.llm import near, packing, simhash
 from tests.llm.test_operators import PASSAGE, ROWS, SCHEMA, brute_components, brute_dedup
 
 
@@ -99,6 +101,49 @@ def test_near_copies_by_five_word_shingles(spark):
     assert Counter(x.doc_id for x in got.collect()) == Counter(want)
 
 
+def test_alike_finds_all_components_of_a_block():
+    rng = random.Random(9)
+    base = [rng.getrandbits(64) for _ in range(200)]
+    sets = []
+    for _ in range(90):
+        drop = rng.randint(0, 60)
+        sets.append(np.unique(np.array(rng.sample(base, 200 - drop) + [rng.getrandbits(64) for _ in range(rng.randint(0, 40))], dtype=np.uint64)))
+    similar = lambda x, y: 5 * len(np.intersect1d(x, y)) >= 4 * len(np.union1d(x, y))
+    want, got = list(range(90)), list(range(90))
+    for i in range(90):
+        for j in range(i):
+            if want[i] != want[j] and similar(sets[i], sets[j]):
+                want = [want[j] if x == want[i] else x for x in want]
+    links = near.alike(sets, list(range(90)))
+    assert all(similar(sets[i], sets[j]) for i, j in links) and len(links) == 90 - len(set(want)) > 20
+    for i, j in links:
+        got = [got[j] if x == got[i] else x for x in got]
+    assert len(set(zip(want, got, strict=True))) == len(set(want)) == len(set(got))
+    assert near.alike(sets, want) == []
+
+
+def test_mix_takes_the_same_texts_whatever_repeats(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice([None, 1, 2]), " ".join(f"w{rng.randint(0, 9)}" for _ in range(5)), "en", rng.choice(["a", None]), i) for i in range(120)]
+    rows += rows[:30]
+    docs = spark.createDataFrame(rows, SCHEMA).withColumns({c: F.lit("own") for c in ("size", "taken", "number", "copies", "row", "text_key", "k")})
+    one, two = (Counter((x.doc_id, x.text, x.source, x.n_chars) for x in P.mix(spark, docs.repartition(n), "").collect()) for n in (1, 7))
+    assert one == two and sum(one.values()) > 150
+    assert P.mix(spark, docs, "").columns == docs.columns
+
+
+CLASHING = ["row", "n_removed", "kept", "score", "lang_pred", "grams", "root", "key", "tid", "digest", "rows", "size", "number"]
+
+
+@pytest.mark.parametrize("stage", P.STAGES[:-1], ids=lambda s: s[0])
+def test_stages_pass_on_columns_of_any_name(spark, docs, stage):
+    more = docs.withColumns({c: F.lit("own") for c in CLASHING})
+    got = stage[1](spark, more, "").cache()
+    assert got.count() and got.columns == more.columns and rows(got) == rows(stage[1](spark, docs, ""))
+    assert got.where(" OR ".join(f"{c} <> 'own'" for c in CLASHING)).count() == 0
+    assert stage[1](spark, more.limit(0), "").count() == 0
+
+
 def test_only_texts_long_enough_are_judged_unlike(spark):
     rng = random.Random(4)
     word = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randint(2, 9)))
