@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +36,9 @@ def stage_path(spark: SparkSession, name: str) -> str:
 #: Of small rows, as many as one file should have at least.
 FILE_ROWS = 1_000_000
 
+#: Lists that paths of new tables are noted in, the innermost last.
+_NOTED: list[list[str]] = []
+
 
 def stage_table(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage ends here, and lost executors cost nothing.
@@ -46,7 +51,34 @@ def stage_table(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
         df = df.coalesce(1 + rows // FILE_ROWS)
     path = stage_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    for noted in _NOTED[-1:]:
+        noted.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Deletes folders of tables that nothing reads any more, on whatever file system they are."""
+    for path in paths:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path.rpartition("/")[0])
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def drop_tables(*tables: DataFrame) -> None:
+    """Deletes what stage_table() wrote for these, once all that is computed from them is written itself."""
+    for t in tables:
+        remove(t.sparkSession, t.staged_at)
+
+
+@contextmanager
+def noting(paths: list[str]) -> Iterator[None]:
+    """Within, the paths of new tables are noted in `paths`."""
+    _NOTED.append(paths)
+    try:
+        yield
+    finally:
+        _NOTED.pop()
 
 
 def id_crc(doc_id: Column) -> Column:

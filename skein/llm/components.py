@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage_table
+from .common import drop_tables, stage_table
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -28,7 +28,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         small = large.join(low, "a")
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
         # A round makes no more edges than two for each it was given.
-        edges = stage_table(small.where("a <> b").distinct(), "edges", 2 * rows)
+        edges, done = stage_table(small.where("a <> b").distinct(), "edges", 2 * rows), edges
+        drop_tables(done)
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
         if now == seen:
             break
