@@ -11,8 +11,8 @@ from . import langid, media, mixing, packing, qualnet, quality_rules, simhash, s
 from .common import id_crc, labelled_sample, stage_table, table
 
 
-#: Rows that classifiers are fitted on, at most.
-TOXICITY_ROWS, LANGUAGE_ROWS, QUALITY_ROWS = 4000, 2000, 1600
+#: Rows that classifiers are fitted on, at most; for languages, of each.
+TOXICITY_ROWS, LANGUAGE_ROWS, QUALITY_ROWS = 4000, 500, 1600
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +43,7 @@ def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = warc.archive(table(spark, sf_dir, "pages"))
-    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "ts")
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,4 +129,14 @@ SELECT r.doc_id, r.size, r.source_size, r.target, coalesce(t.taken, 0)::BIGINT A
 FROM r LEFT JOIN t ON r.doc_id = t.doc_id AND r.k = t.k AND r.size = t.size AND r.s_null = t.s_null AND r.s = t.s
 """
 
-ORACLES: dict[str, str] = {"op2_quality_cascade": OP2_SQL, "op7_mix": OP7_SQL}
+#: Five digits of the hexadecimal digest are four of base 32.
+_B32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h, {5 * i + 1}, 5))::BIGINT >> {shift}) & 31)::INT, 1)" for i in range(8) for shift in (15, 10, 5, 0))
+OP6_SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+k AS (SELECT html, max(page_id) AS keeper FROM p GROUP BY html)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes, {_B32} AS payload_digest,
+  CASE WHEN page_id <> keeper THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id <> keeper THEN keeper END AS refers_to
+FROM p JOIN k USING (html)
+"""
+
+ORACLES: dict[str, str] = {"op6_warc": OP6_SQL, "op2_quality_cascade": OP2_SQL, "op7_mix": OP7_SQL}
