@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage_table
+from .common import drop_tables, stage_table
 
 _TABLE = np.frombuffer(hashlib.shake_256(b"bytes").digest(256 * 8), dtype="<u8")
 _ODD = np.frombuffer(hashlib.shake_256(b"levels").digest(8 * 8), dtype="<u8") | np.uint64(1)
@@ -244,22 +244,29 @@ def cell_table(texts: DataFrame, least: int, k: int) -> DataFrame:
 
 def shared_cells(docs: DataFrame, least: int = 200, k: int = 32) -> DataFrame:
     """Cells of docs' texts whose anchor stands at more than one place, once per text: (h, c, n, tid, start, more)."""
-    cut = cell_table(_binary(docs.select("text")), least, k).repartition("h")
+    cut = cell_table(_binary(docs.select("text")), least, k)
+    # Anchors are counted before they are shuffled, and the join may split a hot one's cells over tasks.
     anchors = cut.groupBy("h").agg(F.count("*").alias("rows"), F.count("more").alias("again")).where("rows > 1 or again > 0").select("h")
-    found = stage_table(cut.join(anchors.hint("shuffle_hash"), "h"), "cells")
+    found = stage_table(cut.join(anchors, "h"), "cells")
     # Copies of a text that were met in different tasks.
-    return found.groupBy("h", "c", "n", "tid").agg(F.first("start").alias("start"), F.first("more").alias("more"))
+    once = stage_table(found.groupBy("h", "c", "n", "tid").agg(F.first("start").alias("start"), F.first("more").alias("more")), "places")
+    drop_tables(found)
+    return once
+
+
+def texts_of(docs: DataFrame) -> DataFrame:
+    """(tid, _bytes): distinct texts. Each use in a query shares one exchange of them."""
+    return _binary(docs.select("text")).groupBy("tid").agg(F.first("_bytes").alias("_bytes"))
 
 
 def repeats(docs: DataFrame, cut: DataFrame, least: int = 200, most: int = 20_000, batch_bytes: int = 1 << 20) -> DataFrame:
     """(h, c, n, group, parent, length, off): occurrences of maximal repeats in distinct cells; group numbers are per task batch."""
     distinct = cut.groupBy("h", "c", "n").agg(F.sum(F.lit(1) + F.coalesce(F.size("more"), F.lit(0)) * F.col("more").isNotNull().cast("int")).alias("w"), F.min(F.struct("tid", "start")).alias("at"))
-    distinct = distinct.repartition("h")
     groups = distinct.groupBy("h").agg(F.count("*").alias("cells"), F.sum("w").alias("places")).where("places > 1")
-    wanted = distinct.join(groups.hint("shuffle_hash"), "h").select("h", "c", "n", "w", "cells", "at.tid", "at.start")
+    wanted = distinct.join(groups, "h").select("h", "c", "n", "w", "cells", "at.tid", "at.start")
     # A text's list of wanted cells is bounded by its length.
     lists = wanted.groupBy("tid").agg(F.collect_list(F.struct("h", "c", "n", "w", "cells", "start")).alias("wanted"))
-    texts = _binary(docs.select("text")).groupBy("tid").agg(F.first("_bytes").alias("_bytes"))
+    texts = texts_of(docs)
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -309,7 +316,8 @@ def repeats(docs: DataFrame, cut: DataFrame, least: int = 200, most: int = 20_00
                     ["window", "h", "c", "n", "w", "off"],
                 )
 
-    held = held.repartition("h")
+    # The cells of an anchor meet in one task; those of an anchor with more than `most` are dealt by content before their bytes move.
+    held = held.withColumn("part", F.when(F.col("cells") > most, F.col("c")).otherwise(F.lit(0))).repartition("h", "part").drop("part")
     inside = held.where(F.col("cells") <= most).sortWithinPartitions("h").mapInArrow(scan, "h long, c long, n int, group long, parent long, length int, off int")
     hot = held.where(F.col("cells") > most).mapInArrow(windows, "window binary, h long, c long, n int, w long, off int")
     twice = hot.groupBy("window").agg(F.sum("w").alias("places")).where("places > 1").select("window")
@@ -341,19 +349,24 @@ def repeated_spans(docs: DataFrame, least: int = 200, k: int = 32, most: int = 2
     return by_text.mapInArrow(merge, "tid binary, spans array<int>")
 
 
+ADDED = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
+
+
 def dedup(docs: DataFrame, least: int = 200, k: int = 32, most: int = 20_000, keep_text: bool = False) -> DataFrame:
-    """Every row of docs plus n_bytes, n_removed, n_spans, kept_sha256, and kept (binary) with keep_text.
+    """Every row of docs, without its text, plus n_bytes, n_removed, n_spans, kept_sha256; with keep_text also text and kept (binary).
 
     A byte goes if a string of `least` bytes that covers it starts anywhere else too; strings are judged on the
     input. Null texts are empty, texts shorter than `least` keep all bytes, a repeated row is a copy like any other
-    (so a text of `least` bytes or more that stands in two rows loses all). doc_id is only passed on; so are other
-    columns, but for clashing ones, which are replaced. An empty table gives an empty result.
+    (so a text of `least` bytes or more that stands in two rows loses all). doc_id is only passed on, and so are other
+    columns of whatever name: they travel as one struct. Columns of the five names are replaced. An empty table gives
+    an empty result.
     """
-    docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "tid", "_bytes")
+    texts = texts_of(docs)
+    passed = [c for c in docs.columns if c not in ADDED and c != "text"]
+    own = [c for c in docs.columns if c not in ADDED and (keep_text or c != "text")]
     spans = repeated_spans(docs, least, k, most)
-    # Texts whose bytes are neither all kept nor all dropped are read once more.
-    texts = _binary(docs.select("text")).groupBy("tid").agg(F.first("_bytes").alias("_bytes"))
 
+    # Texts whose bytes are neither all kept nor all dropped.
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, b.num_rows, 64):
@@ -370,21 +383,21 @@ def dedup(docs: DataFrame, least: int = 200, k: int = 32, most: int = 20_000, ke
                 yield pa.RecordBatch.from_arrays([s.column("tid"), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(digests, pa.string()), pa.array(kept, pa.binary())], ["tid", "removed", "runs", "digest", "rest"])
 
     changed = texts.join(spans, "tid").select("tid", "_bytes", "spans").mapInArrow(cut, "tid binary, removed long, runs long, digest string, rest binary")
-    rows = _binary(docs).withColumn("n_bytes", F.octet_length("_bytes").cast("long")).withColumn("_own", F.sha2("_bytes", 256))
-    if not keep_text:
-        rows = rows.drop("text")
-    rows = rows.drop("_bytes")
+    rows = _binary(docs.select((F.struct(*passed) if passed else F.struct(F.lit(0))).alias("row"), "text", F.col("text").isNull().alias("none")))
+    rows = rows.select("row", "none", "tid", F.octet_length("_bytes").cast("long").alias("n_bytes"), F.sha2("_bytes", 256).alias("own"))
     copies = _binary(docs.select("text")).groupBy("tid").agg(F.count("*").alias("rows")).where("rows > 1")
-    about = changed.join(copies, "tid", "full_outer")
-    whole = (F.col("rows") > 1) & (F.col("n_bytes") >= least)
-    whole = F.coalesce(whole, F.lit(False))
-    out = (
-        rows.join(about, "tid", "left")
-        .withColumn("n_removed", F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("removed", F.lit(0).cast("long"))))
-        .withColumn("n_spans", F.when(whole, F.lit(1).cast("long")).otherwise(F.coalesce("runs", F.lit(0).cast("long"))))
-        .withColumn("kept_sha256", F.when(whole, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("digest", "_own")))
-    )
+    out = rows.join(changed.join(copies, "tid", "full_outer"), "tid", "left")
+    if keep_text:
+        # Rows find their text by the exchange that distinct texts have been dealt by already.
+        out = out.join(texts, "tid")
+    whole = F.coalesce((F.col("rows") > 1) & (F.col("n_bytes") >= least), F.lit(False))
+    results = {
+        "n_bytes": F.col("n_bytes"),
+        "n_removed": F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("removed", F.lit(0).cast("long"))),
+        "n_spans": F.when(whole, F.lit(1).cast("long")).otherwise(F.coalesce("runs", F.lit(0).cast("long"))),
+        "kept_sha256": F.when(whole, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("digest", "own")),
+    }
     if keep_text:
-        own = F.coalesce("text", F.lit("")).cast("binary")
-        out = out.withColumn("kept", F.when(whole, F.lit(bytearray())).otherwise(F.when(F.col("digest").isNotNull(), F.col("rest")).otherwise(own)))
-    return out.drop("tid", "_own", "removed", "runs", "digest", "rest", "rows")
+        results["kept"] = F.when(whole, F.lit(bytearray())).otherwise(F.when(F.col("digest").isNotNull(), F.col("rest")).otherwise(F.col("_bytes")))
+    restored = F.when(F.col("none"), F.lit(None)).otherwise(F.col("_bytes").cast("string")) if keep_text else None
+    return out.select(*[restored.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in own], *[c.alias(name) for name, c in results.items()])
