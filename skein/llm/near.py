@@ -4,17 +4,22 @@ Texts of the same words are summed up first. Candidates come from two searches:
 Gray-order index of SimHash fingerprints. Every candidate is then checked exactly: a link is a Jaccard similarity of the
 shingle sets of at least 4/5, and components are those of the links.
 
-The texts that share a band are a bucket. Each is compared with the bucket's least text first, pair by pair; that joins
-what is most alike. Buckets whose texts aren't all in one component then go on: they are dealt by a hash into blocks of
-about `BLOCK` texts (most buckets are one block), and within a block every text is compared with every other by counting
-shared shingles in inverted lists. So work and rows grow with the number of texts, not with its square. In a bucket of
-one block no link is lost; in a larger one, texts that have no path of links by the least text, and meet in a block of
-none of the bands they share, stay apart.
+The texts that share a band are a bucket, and so are those whose fingerprints are joined by links. Each is compared with
+the bucket's least text first, pair by pair; that joins what is most alike. Buckets whose texts aren't all in one
+component then go on: they are dealt by a hash into blocks of about `BLOCK` texts (most buckets are one block), and
+within a block every text is compared with every other by counting shared shingles in inverted lists.
+
+What is still open of the buckets of several blocks is compared across blocks: each is dealt into some parts, and a cell
+has the rows of two parts. There every pair not joined yet is tried by the parities of its shingles: where so many bits
+differ, as many shingles at least are in one set alone, so no link is left out. The pairs that would join a cell's texts
+are checked exactly first, then all that are left. So no link is lost in a bucket of any size; the rows dealt grow with
+the power 1.5 of an open bucket, and the tries, of a few words each, with its square.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +35,8 @@ from .simhash import links
 #: A pair of similarity 0.8 shares none of 24 bands of 5 minima with a chance of (1 - 0.8 ** 5) ** 24, 7 in 100,000.
 N, BANDS, ROWS = 5, 24, 5
 BLOCK = 256
+#: Bits of the widest parities, and texts of a cell that are compared with others at a time.
+WIDEST, STRIP = 1 << 15, 64
 _ODD = np.random.default_rng(42).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -94,6 +101,71 @@ def alike(sets: list[np.ndarray], root: list) -> list[tuple[int, int]]:
     return out
 
 
+def parities(hashes: np.ndarray) -> bytes:
+    """Whether an odd number of distinct hashes falls on each of some bits, two to four times as many as hashes, a power of two."""
+    width = min(max(64, 1 << (2 * len(hashes)).bit_length()), WIDEST)
+    odd = np.bincount((hashes & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+class Side:
+    """Texts of a part, by size: their numbers of shingles and their parities, which halves fold to fewer bits."""
+
+    def __init__(self, size: list[int], bits: list[bytes]):
+        self.size, self.bits = np.array(size, np.int64), bits
+        self.width = np.array([8 * len(b) for b in bits], np.int64)
+        self.folded: dict = {}
+
+    def at(self, width: int, lo: int, hi: int) -> np.ndarray:
+        """Words of so many bits, a column for each of the texts lo to hi, none of which has fewer bits, or more than twice as many."""
+        if width not in self.folded:
+            first, last = np.searchsorted(self.width, width), np.searchsorted(self.width, 2 * width, "right")
+            words = [np.frombuffer(b, "<u8") for b in self.bits[first:last]]
+            self.folded[width] = first, np.array([w if len(w) * 64 == width else w[: len(w) // 2] ^ w[len(w) // 2 :] for w in words]).T.copy()
+        first, words = self.folded[width]
+        return words[:, lo - first : hi - first]
+
+
+def close(x: Side, y: Side, root: np.ndarray, whole: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (i, j) of x's and y's texts that may be similar and have unlike roots, numbered as root is: first x's, then y's.
+
+    With x for y, pairs within x. If `whole`, all of them; else those of a forest that joins what all would join.
+    """
+    root, shift = root.copy(), 0 if x is y else len(x.size)
+    s = 0
+    while s < len(x.size):
+        # Within a strip, and with what may be similar to it, sizes differ by less than twice, so at most two widths meet.
+        e = min(s + STRIP, int(np.searchsorted(x.size, x.size[s] * 5 // 4, "right")))
+        lo, hi = int(np.searchsorted(y.size, -(-4 * x.size[s] // 5))), int(np.searchsorted(y.size, x.size[e - 1] * 5 // 4, "right"))
+        if x is y:
+            hi = min(hi, e)
+        if lo < hi:
+            width = int(min(x.width[s], y.width[lo]))
+            differ = np.zeros((e - s, hi - lo), np.int32)
+            for p, q in zip(x.at(width, s, e), y.at(width, lo, hi), strict=True):
+                differ += np.bitwise_count(p[:, None] ^ q[None, :])
+            m, n = x.size[s:e, None], y.size[None, lo:hi]
+            # Similar sets have (m + n) / 9 members at most that are in one of them alone.
+            hit = (9 * differ <= m + n) & (5 * m >= 4 * n) & (5 * n >= 4 * m) & (root[s:e, None] != root[None, shift + lo : shift + hi])
+            if x is y:
+                hit &= np.arange(lo, hi)[None, :] < np.arange(s, e)[:, None]
+            if whole:
+                i, j = np.nonzero(hit)
+                pairs = [(i + s, j + lo + shift)]
+            else:
+                pairs = []
+                for i in np.flatnonzero(hit.any(axis=1)).tolist():
+                    j = np.flatnonzero(hit[i])
+                    j = j[np.argsort(differ[i, j], kind="stable")] + lo + shift
+                    j = j[root[j] != root[s + i]]
+                    j = j[np.unique(root[j], return_index=True)[1]]
+                    root[np.isin(root, root[j])] = root[s + i]
+                    pairs.append((np.full(len(j), s + i), j))
+            if sum(len(i) for i, _ in pairs):
+                yield np.concatenate([i for i, _ in pairs]), np.concatenate([j for _, j in pairs])
+        s = e
+
+
 #: Columns that marked() adds.
 KEY, COUNT, FP, BAND = "__near_key", "__near_n", "__near_fp", "__near_bands"
 
@@ -121,14 +193,16 @@ def marked(docs: DataFrame) -> DataFrame:
 
 
 def sets_of(texts: DataFrame, rows: DataFrame) -> DataFrame:
-    """(key, members): the sorted shingle hashes, eight bytes each, of the texts(row, text) that are in rows(row, key)."""
+    """(key, members, size, bits): the sorted shingle hashes, eight bytes each, of the texts(row, text) that are in rows(row, key), their number and parities."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array([np.unique(shingles(t.as_py() or "")[1]).tobytes() for t in b.column("text")], pa.binary())], ["key", "members"])
+            sets = [np.unique(shingles(t.as_py() or "")[1]) for t in b.column("text")]
+            more = [pa.array([h.tobytes() for h in sets], pa.binary()), pa.array([len(h) for h in sets], pa.int64()), pa.array([parities(h) for h in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column("key"), *more], ["key", "members", "size", "bits"])
 
     used = texts.join(rows.select("row", "key").distinct(), "row").select("key", "text")
-    return stage_table(used.mapInArrow(run, "key long, members binary"), "sets")
+    return stage_table(used.mapInArrow(run, "key long, members binary, size long, bits binary"), "sets")
 
 
 def checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -143,6 +217,7 @@ def checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 keep[i] = similar(len(np.intersect1d(p, q, assume_unique=True)), len(p), len(q))
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep)) for c in ("a", "b")], ["a", "b"])
 
+    sets = sets.select("key", "members")
     both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
     return stage_table(both.mapInArrow(run, "a long, b long"), "links")
 
@@ -172,34 +247,75 @@ def block_links(dealt: DataFrame) -> DataFrame:
     return stage_table(dealt.mapInArrow(run, "a long, b long").distinct(), "links")
 
 
+def across(placed: DataFrame, sets: DataFrame, block: int, whole: bool) -> DataFrame:
+    """(a, b): pairs that may be similar, of unlike roots, of the buckets of placed(band, many, key, root); see close()."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, rows = None, []
+
+        def flush():
+            if len({r[1] for r in rows}) < 2:
+                return
+            cut = next((i for i, r in enumerate(rows) if r[0]), len(rows))
+            x, y = (Side([r[3] for r in part], [r[4] for r in part]) for part in (rows[:cut], rows[cut:]))
+            keys = np.array([r[2] for r in rows], np.int64)
+            for i, j in close(x, x if cell[1] == cell[2] else y, np.array([r[1] for r in rows], np.int64), whole):
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(keys[i], keys[j])), pa.array(np.minimum(keys[i], keys[j]))], ["a", "b"])
+
+        for b in batches:
+            columns = [b.column(c).to_pylist() for c in ("band", "lo", "hi", "side", "root", "key", "size", "bits")]
+            for band, lo, hi, *row in zip(*columns, strict=True):
+                if (band, lo, hi) != cell:
+                    yield from flush()
+                    cell, rows = (band, lo, hi), []
+                rows.append(row)
+        yield from flush()
+
+    open_ = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band")
+    parts = F.ceil(F.sqrt(F.col("many") / block))
+    dealt = placed.join(open_, "band").select("band", "key", "root", F.pmod(F.xxhash64("band", "key"), parts).alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("other"))
+    dealt = dealt.select("band", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), (F.col("part") > F.col("other")).cast("int").alias("side"), "root", "key")
+    dealt = dealt.join(sets.select("key", "size", "bits"), "key").repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi", "side", "size", "key")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
 def near_components(marks: DataFrame, texts: DataFrame, block: int = BLOCK) -> DataFrame:
     """(node, root) of marks(key, row, n, fp, bands), one for each key, whose texts(row, text) are; keys without a link are absent."""
-    filed = marks.select(F.explode("bands").alias("band"), "key")
+    # Links of fingerprints are a forest, so all that are joined by them are a bucket.
+    fps = stage_table(components(links(marks.select("fp").distinct())), "nodes")
+    same = marks.join(fps, marks.fp == fps.node, "left").select(F.xxhash64(F.lit("fp"), F.coalesce("root", "fp")).alias("band"), "key")
+    filed = marks.select(F.explode("bands").alias("band"), "key").unionByName(same)
     buckets = filed.groupBy("band").agg(F.count("*").alias("many"), F.min("key").alias("b")).where("many > 1")
     filed = stage_table(filed.join(buckets, "band"), "filed")
 
-    of_fp = marks.groupBy("fp").agg(F.min("key").alias("rep"))
-    same = marks.select("fp", "key").join(of_fp, "fp").select(F.col("key").alias("a"), F.col("rep").alias("b"))
-    near = links(of_fp.select("fp")).join(of_fp.toDF("a", "a_rep"), "a").join(of_fp.toDF("b", "b_rep"), "b").select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b"))
-    pairs = filed.select(F.col("key").alias("a"), "b").distinct().unionByName(same).unionByName(near).where("a <> b")
-    pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    pairs = filed.where("key <> b").select(F.col("key").alias("a"), "b").distinct()
     # Sets that differ in size by more than a fifth can't be that similar.
     sizes = marks.select("key", "n")
     pairs = pairs.join(sizes.toDF("a", "a_n"), "a").join(sizes.toDF("b", "b_n"), "b")
     pairs = stage_table(pairs.where("5 * least(a_n, b_n) >= 4 * greatest(a_n, b_n)").select("a", "b"), "pairs")
-    used = filed.select("key").unionByName(pairs.select(F.col("a").alias("key"))).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-    sets = sets_of(texts, marks.select("row", "key").join(used, "key"))
-    found = checked(pairs, sets)
-    nodes = stage_table(components(found), "nodes")
+    sets = sets_of(texts, marks.select("row", "key").join(filed.select("key").distinct(), "key"))
+    found = [checked(pairs, sets)]
+    nodes = [stage_table(components(found[0]), "nodes")]
+
+    def join(more: DataFrame) -> None:
+        found.append(more)
+        if more.isEmpty():
+            return
+        nodes.append(stage_table(components(reduce(DataFrame.unionByName, found)), "nodes"))
 
-    placed = filed.join(nodes, filed.key == nodes.node, "left").withColumn("root", F.coalesce("root", "key"))
-    dealt = placed.select("band", "key", "root", F.pmod(F.xxhash64("band", "key"), F.ceil(F.col("many") / block)).alias("block"))
+    def placed(rows: DataFrame) -> DataFrame:
+        return rows.join(nodes[-1], rows.key == nodes[-1].node, "left").withColumn("root", F.coalesce("root", "key"))
+
+    dealt = placed(filed).select("band", "key", "root", F.pmod(F.xxhash64("band", "key"), F.ceil(F.col("many") / block)).alias("block"))
     # A block wholly in one component has nothing to add.
     open_ = dealt.groupBy("band", "block").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band", "block")
-    more = block_links(dealt.join(open_, ["band", "block"]).join(sets, "key"))
-    out = stage_table(components(found.unionByName(more)), "nodes")
-    drop_tables(filed, pairs, sets, found, nodes, more)
-    return out
+    join(block_links(dealt.join(open_, ["band", "block"]).join(sets.select("key", "members"), "key")))
+    large = filed.where(F.col("many") > block)
+    if not large.isEmpty():
+        for whole in (False, True):
+            join(checked(across(placed(large), sets, block, whole), sets))
+    drop_tables(fps, filed, pairs, sets, *found, *nodes[:-1])
+    return nodes[-1]
 
 
 def dedup(docs: DataFrame) -> DataFrame:

@@ -122,6 +122,52 @@ def test_alike_finds_all_components_of_a_block():
     assert near.alike(sets, want) == []
 
 
+def changed_copies(n, words, rng):
+    """Texts, one at a time with words changed of one another and of a common text, so that links are few and go by chains."""
+    base, out = [f"w{rng.randint(0, 5000)}" for _ in range(words)], []
+    for i in range(n):
+        t = list(out[-1][1].split() if i % 3 == 1 else base)
+        for _ in range(rng.randint(1, 3) if i % 3 == 1 else rng.randint(words // 40, words // 20)):
+            t[rng.randrange(words)] = f"x{rng.randint(0, 5000)}"
+        out.append((i, " ".join(t)))
+    return out
+
+
+def test_no_link_is_lost_between_blocks_of_a_bucket(spark):
+    rows = changed_copies(90, 120, random.Random(11))
+    # All texts are in one bucket, by bands and by fingerprints of their own that no other has.
+    marks = near.marked(spark.createDataFrame(rows, "row long, text string"))
+    marks = marks.select(F.col(near.KEY).alias("key"), "row", F.col(near.COUNT).alias("n"), F.hash("row").cast("long").alias("fp"), F.array(F.lit(7).cast("long")).alias("bands")).cache()
+    texts = spark.createDataFrame(rows, "row long, text string")
+    ids = {x.key: x.row for x in marks.collect()}
+    root = components_of(rows, lambda x, y: jaccard(x, y) >= 0.8)
+    want = {frozenset(i for i, r in enumerate(root) if r == k) for k in set(root)}
+    assert 10 < sum(len(w) > 1 for w in want)
+    for block in (2, 9, 60, 90):
+        got = {}
+        for x in near.near_components(marks, texts, block).collect():
+            got.setdefault(x.root, set()).add(ids[x.node])
+        assert {frozenset(g) for g in got.values()} == {w for w in want if len(w) > 1}
+
+
+@pytest.mark.parametrize("words", [1, 30, 3000])
+def test_parities_leave_out_no_similar_pair(words):
+    rng = np.random.default_rng(words)
+    base = rng.integers(0, 1 << 63, words, dtype=np.uint64)
+    sets = [np.unique(np.append(rng.choice(base, rng.integers(words // 2, words) or 1, replace=False), rng.integers(0, 1 << 63, rng.integers(0, words // 9 + 1), dtype=np.uint64))) for _ in range(100)]
+    sets.sort(key=len)
+    similar = {(i, j) for i in range(100) for j in range(i) if near.similar(len(np.intersect1d(sets[i], sets[j])), len(sets[i]), len(sets[j]))}
+    side = lambda part: near.Side([len(s) for s in part], [near.parities(s) for s in part])
+    x, own = side(sets), np.arange(100)
+    pairs = lambda found: {(int(i), int(j)) for a, b in found for i, j in zip(a, b, strict=True)}
+    assert similar and similar <= pairs(near.close(x, x, own, True))
+    even, odd = [*range(0, 100, 2)], [*range(1, 100, 2)]
+    place = {k: i for i, k in enumerate(even + odd)}
+    crossing = {(place[min(p, key=lambda k: k % 2)], place[max(p, key=lambda k: k % 2)]) for p in similar if (p[0] + p[1]) % 2}
+    assert crossing <= pairs(near.close(side([sets[i] for i in even]), side([sets[i] for i in odd]), own, True))
+    assert not pairs(near.close(x, x, own * 0, True)) and len(pairs(near.close(x, x, own, False))) < 100
+
+
 def test_mix_takes_the_same_texts_whatever_repeats(spark):
     rng = random.Random(6)
     rows = [(rng.choice([None, 1, 2]), " ".join(f"w{rng.randint(0, 9)}" for _ in range(5)), "en", rng.choice(["a", None]), i) for i in range(120)]
