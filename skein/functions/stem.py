@@ -53,19 +53,34 @@ FINAL_E, E_ONE, E_CVC = 8, EQ1.replace("$", "e$"), CVC.replace("$", "e$")
 WORDS = "^[a-z]{3,}$"
 
 
+def _tail(seen: str) -> str:
+    """The letters that a word ends in wherever the pattern is found."""
+    return re.search(r"([A-Za-z|]*)\$$|$", seen.replace("\\|", "|")).group(1) or ""
+
+
+#: The steps as Python runs them: all tails, then of each rule its tail and its patterns, compiled.
+_COMPILED = [
+    (tuple({_tail(seen) for seen, *_ in step}), [(_tail(seen), re.compile(seen).search, cond and re.compile(cond).search, re.compile(cut).sub, put) for seen, cond, cut, put in step])
+    for step in STEPS
+]
+_IS_WORD, _IS_E_ONE, _IS_E_CVC = (re.compile(p).search for p in (WORDS, E_ONE, E_CVC))
+
+
 def stem_word(word: str) -> str:
-    """The stem of one word, in Python: for query terms and as a check."""
-    if not re.search(WORDS, word):
+    """The stem of one word, in Python: for texts, for query terms and as a check."""
+    if not _IS_WORD(word):
         return word
-    for n, step in enumerate(STEPS):
+    for n, (tails, rules) in enumerate(_COMPILED):
+        if not word.endswith(tails):
+            continue
         if n == FINAL_E:
-            if word.endswith("e") and (re.search(step[0][1], word) or (re.search(E_ONE, word) and not re.search(E_CVC, word))):
+            if rules[0][2](word) or (_IS_E_ONE(word) and not _IS_E_CVC(word)):
                 word = word[:-1]
             continue
-        for seen, cond, cut, put in step:
-            if re.search(seen, word):
-                if cond is None or re.search(cond, word):
-                    word = re.sub(cut, put, word)
+        for tail, seen, cond, cut, put in rules:
+            if word.endswith(tail) and seen(word):
+                if cond is None or cond(word):
+                    word = cut(put, word)
                 break
     return word
 

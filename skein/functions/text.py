@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-TOKEN = r"[\p{L}\p{N}]+"
+TOKEN, BETWEEN = r"[\p{L}\p{N}]+", r"[^\p{L}\p{N}]+"
 
 #: Symbols that are no terms even where a tokenizer yields them.
 SYMBOLS = ["!", "@", "#", "?", ",", ".", "(", ")", "/", "<", ">", "_", "-"]
@@ -33,6 +33,11 @@ def raw_tokens(text: Column) -> Column:
     return F.regexp_extract_all(doc_preprocess(text), F.lit(TOKEN), 0)
 
 
+def spaced_tokens(text: Column) -> Column:
+    """The tokens of raw_tokens() as one text, with single spaces between them, and maybe around."""
+    return F.regexp_replace(doc_preprocess(text), BETWEEN, " ")
+
+
 def without_stopwords(tokens: Column) -> Column:
     return F.filter(tokens, lambda t: ~t.isin(*STOPWORDS, *SYMBOLS))
 

@@ -90,3 +90,45 @@ def test_simple_rank_covers_every_document(made):
 def test_url_vocabulary_is_dense_and_ordered(spark):
     urls = spark.createDataFrame([(u,) for u in ("b", "a", "c", "a", None)], "url string")
     assert [(r.doc_id, r.url) for r in I.url_vocabulary(urls).orderBy("doc_id").collect()] == [(0, "a"), (1, "b"), (2, "c")]
+
+
+def test_postings_of_repeated_ids_are_added(spark):
+    docs = spark.createDataFrame([(1, "Pear pears don't"), (1, "pear plum"), (2, "plum"), (None, "fig"), (None, "figs fig"), (3, None)], "doc_id long, text string")
+    want = {("pear", 1): 3, ("dont", 1): 1, ("plum", 1): 1, ("plum", 2): 1, ("fig", None): 3}
+    assert {(r.term, r.doc_id): r.tf for r in I.postings(docs).collect()} == want
+    assert {r.term: r.df for r in I.block_frequency(I.blocks(docs)).collect()} == {"pear": 1, "dont": 1, "plum": 2, "fig": 1}
+
+
+def test_postings_deal_no_words(made):
+    _, docs, _ = made
+    assert "Exchange" not in I.postings(docs)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_blocks_of_any_size_and_frequency_weigh_alike(made, spark, monkeypatch):
+    texts, docs, _ = made
+    _, df, weight, length = by_hand(texts)
+    for frequent in (1, 20, 10**6):
+        monkeypatch.setattr(I, "FREQUENT", frequent)
+        got = I.block_weights(I.blocks(docs), I.corpus_size(docs))
+        assert {(r.term, r.doc_id): (r.df, round(r.weight, 9)) for r in got.collect()} == {k: (df[k[0]], round(w, 9)) for k, w in weight.items()}
+        assert {r.doc_id: round(r.length, 9) for r in I.doc_length(got, docs).collect()} == {d: round(x, 9) for d, x in length.items()}
+    import pyarrow as pa
+
+    monkeypatch.setattr(I, "AT_ONCE", 1)
+    monkeypatch.setattr(I, "KNOWN", 2)
+    rows = pa.RecordBatch.from_arrays([pa.array([*texts]), pa.array([" ".join(w) for w in texts.values()])], ["doc_id", "text"])
+    small = [(b["term"], d, n) for made in I._inverted(iter([rows])) for b in made.to_pylist() for d, n in zip(b["ids"], b["tfs"])]
+    assert {(t, d): n for t, d, n in small} == by_hand(texts)[0] and len(small) == len(weight)
+
+
+def test_a_query_prunes_the_index(made, spark):
+    _, _, index = made
+    plan = index.weights(I.query_terms(spark, VOCABULARY[1]))._jdf.queryExecution().executedPlan().toString()
+    assert f"EqualTo(term,{VOCABULARY[1]})" in plan
+
+
+def test_stems_of_made_words_are_alike_in_python(spark):
+    r, ends = Random(5), ["", "s", "ies", "sses", "eed", "ed", "ing", "y", "e", "ll", "sion", "ion", "ization", "iveness", "icate", "ement", "yed", "tting"]
+    words = ["".join(r.choice("aeioubcdlmrsty") for _ in range(r.randrange(5))) + r.choice(ends) + r.choice(["", "s", "ed", "e"]) for _ in range(1500)]
+    got = with_stem(spark.createDataFrame([(w,) for w in set(words)], "word string")).collect()
+    assert all(x.term == stem_word(x.word) for x in got)
