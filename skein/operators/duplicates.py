@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from ..functions.text import whitespace_words
-from ..session import materialize
+from ..session import materialize, stored
 
 N, HASHES, BLOCK = 4, 84, 6
 
@@ -141,35 +141,47 @@ def overlap_keys(reps: DataFrame, min_overlap: int = 2) -> DataFrame:
     choices = F.transform(F.sequence(F.lit(0), F.size("own") - 1), lambda i: F.struct(i.alias("last"), F.get("own", i).alias("key")))
     for _ in range(min_overlap - 1):
         choices = F.flatten(F.transform(choices, lambda c: F.transform(F.filter(F.sequence(F.lit(0), F.size("own") - 1), lambda i: i > c["last"]), lambda i: F.struct(i.alias("last"), F.concat(c["key"], F.get("own", i)).alias("key")))))
-    found = keys.where(F.size("own") >= min_overlap).select("rep", F.explode(choices).alias("c")).select("c.key", "rep")
+    found = keys.where(F.size("own") >= min_overlap).select("rep", F.explode(choices).alias("c")).select(F.unhex(F.md5(F.col("c.key").cast("binary"))).alias("key"), "rep")
     return found.join(found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "key")
 
 
 def first_leaders(reps: DataFrame, min_overlap: int = 2, min_similarity: float = 0.5, most_rounds: int = 1000) -> DataFrame:
     """(rep, leader) as leaders() gives them for dup_pairs(), without making all pairs.
 
-    A class whose keys have no undecided class before it leads. So a key has one new leader a round at most, and only
-    leaders are compared with the classes after them that share a key: a round's pairs are as many as there are keys. Rounds
-    are as many as there are leaders in a row that share a key and aren't similar, plus a few.
+    Classes without a key lead; sketches of the others alone are carried on. A class whose keys have no undecided class
+    before it leads. So a key has one new leader a round at most, and only leaders are compared with the classes after them
+    that share a key: a round's pairs are as many as there are keys of undecided classes, and the next round has these
+    alone. Rounds are as many as there are leaders in a row that share a key and aren't similar, plus a few. A duplicate's
+    leader may be followed by a lesser one of a later round; those pairs are compared once, at the end.
     """
-    sketch = materialize(reps.select("rep", "sketch"), "sketch")
-    filed = materialize(overlap_keys(sketch, min_overlap), "keys")
-    state = materialize(sketch.select("rep", F.lit(None).cast("boolean").alias("leads"), F.lit(None).cast(reps.schema["rep"].dataType).alias("leader")), "leads")
-    for _ in range(most_rounds):
-        undecided = state.where("leads is null").select("rep")
-        waiting = filed.join(undecided, "rep")
+    spark, own = reps.sparkSession, materialize(reps.select("rep", "sketch"), "sketch")
+    filed = materialize(overlap_keys(own, min_overlap), "keys")
+    sketch = materialize(own.join(filed.select("rep").distinct(), "rep", "left_semi"), "keyed")
+    path, waiting = stored(spark, "decided"), filed
+
+    def least(met: DataFrame) -> DataFrame:
+        """(rep, lead): of pairs (rep, lead), the least similar lead."""
+        met = met.distinct().join(sketch, "rep").join(sketch.select(F.col("rep").alias("lead"), F.col("sketch").alias("its")), "lead")
+        return met.where(jaccard(F.col("sketch"), F.col("its")) >= min_similarity).groupBy("rep").agg(F.min("lead").alias("lead"))
+
+    for turn in range(most_rounds):
         blocked = waiting.join(waiting.groupBy("key").agg(F.min("rep").alias("first")), "key").where("first < rep").select("rep").distinct()
-        fresh = materialize(undecided.join(blocked, "rep", "left_anti"), "fresh")
-        if not fresh.limit(1).count():
-            return state.select("rep", "leader")
-        led = filed.join(fresh, "rep").select("key", F.col("rep").alias("lead"))
-        met = filed.join(led, "key").where("rep > lead").join(state.where("not coalesce(leads, false)").select("rep"), "rep").select("lead", "rep").distinct()
-        met = met.join(sketch, "rep").join(sketch.select(F.col("rep").alias("lead"), F.col("sketch").alias("its")), "lead")
-        found = met.where(jaccard(F.col("sketch"), F.col("its")) >= min_similarity).groupBy("rep").agg(F.min("lead").alias("lead"))
-        now = state.join(found, "rep", "left").join(fresh.withColumn("new", F.lit(True)), "rep", "left")
-        leads = F.when(F.col("new"), F.lit(True)).when(F.col("lead").isNotNull(), F.lit(False)).otherwise(F.col("leads"))
-        state = materialize(now.select("rep", leads.alias("leads"), F.least("leader", "lead").alias("leader")), "leads")
-    raise RuntimeError(f"documents undecided after {most_rounds} rounds")
+        fresh = materialize(waiting.select("rep").distinct().join(blocked, "rep", "left_anti"), "fresh")
+        led = waiting.join(fresh, "rep").select("key", F.col("rep").alias("lead"))
+        found = least(waiting.join(led, "key").where("rep > lead").select("rep", "lead"))
+        decided = fresh.withColumn("lead", F.lit(None).cast(reps.schema["rep"].dataType)).unionByName(found)
+        decided.write.parquet(f"{path}/turn={turn}")
+        decided = spark.read.schema(decided.schema).parquet(f"{path}/turn={turn}")
+        waiting = materialize(waiting.join(decided, "rep", "left_anti"), "waiting")
+        if waiting.isEmpty():
+            break
+    else:
+        raise RuntimeError(f"documents undecided after {most_rounds} rounds")
+    decided = spark.read.schema(StructType([*decided.schema, StructField("turn", LongType())])).parquet(path)
+    led = filed.join(decided.where("lead is null").select(F.col("rep").alias("new"), F.col("turn").alias("later")), F.col("rep") == F.col("new")).select("key", "new", "later")
+    after = decided.where("lead is not null").join(filed, "rep").join(led, "key").where("later > turn and new < lead").select("rep", F.col("new").alias("lead"))
+    leader = decided.where("lead is not null").select("rep", F.col("lead").alias("found")).join(least(after), "rep", "left").select("rep", F.least("found", "lead").alias("leader"))
+    return own.select("rep").join(leader, "rep", "left")
 
 
 def duplicates(docs: DataFrame, min_overlap: int = 2, min_similarity: float = 0.5) -> DataFrame:

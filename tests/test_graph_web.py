@@ -204,3 +204,42 @@ def test_sources_and_sinks(spark, tmp_path):
     assert {(r.url, r.content) for r in S.read_corpus(spark, str(tmp_path / "corpus" / "contents")).collect()} == {("http://a", "one"), ("http://b", "two")}
     assert S.enough(contents, 1) and not S.enough(contents, 2)
     assert [(r.src, r.dst) for r in S.read_references(spark, str(tmp_path / "corpus")).collect()] == [("http://a", "http://b")]
+
+
+def test_rounds_of_leaders_carry_only_what_is_undecided(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = [(1000 + i, rng.integers(1000 * i, 1000 * i + 1000, 84).tolist()) for i in range(40)]  # classes without a key
+    # A chain: each shares 2 blocks with all, and is similar to none, but for two near copies.
+    shared, chain = rng.integers(0, 9, 12).tolist(), []
+    for i in range(8):
+        chain.append((i, shared + rng.integers(10**6 * (i + 1), 10**6 * (i + 1) + 10**5, 72).tolist()))
+    rows += chain + [(50, chain[5][1][:-6] + [1] * 6), (51, chain[2][1][:-6] + [2] * 6)]
+    written = []
+
+    def noted(df, name="step", put=D.materialize):
+        out = put(df, name)
+        written.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(D, "materialize", noted)
+    reps = spark.createDataFrame(rows, "rep long, sketch array<long>")
+    got = {r.rep: r.leader for r in D.first_leaders(reps).collect()}
+    monkeypatch.undo()
+    want = D.leaders(reps.select("rep"), D.dup_pairs(reps))
+    assert got == {r.rep: r.leader for r in want.collect()} and got[50] == 5 and got[51] == 2
+    assert dict(written)["keyed"] == 10
+    left = [n for name, n in written if name == "waiting"]
+    assert len(left) >= 8 and left == sorted(left, reverse=True) and left[-1] == 0 and sum(left) < len(left) * dict(written)["keys"] / 2
+
+
+def test_a_lesser_leader_of_a_later_round_is_found(spark):
+    # 1 is blocked by 0, with which it shares two blocks, and leads in the second round; 3 is similar to 2, a leader of the first, and to 1.
+    one, zero = list(range(84)), list(range(200, 284))
+    zero[72:] = one[72:]
+    two = list(range(300, 384))
+    three = one[:42] + two[42:]
+    rows = [(0, zero), (1, one), (2, two), (3, three)]
+    reps = spark.createDataFrame(rows, "rep long, sketch array<long>")
+    got = {r.rep: r.leader for r in D.first_leaders(reps, min_similarity=0.3).collect()}
+    want = D.leaders(reps.select("rep"), D.dup_pairs(reps, min_similarity=0.3))
+    assert got == {r.rep: r.leader for r in want.collect()} == {0: None, 1: None, 2: None, 3: 1}
